@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.operators import hierarchy, orphans, snapshot_changes
+from loomline.operators import drift, hierarchy, orphans, shred, snapshot_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,11 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p3_found": snapshot_changes.p3_found,
+        "p4_found": drift.p4_found,
+        "p4_table": drift.p4_table,
         "p5_found": hierarchy.p5_found,
         "p5_paths": hierarchy.p5_paths,
         "p5_descendants": hierarchy.p5_descendants,
         "p6_found": orphans.p6_found,
         "p6_report": orphans.p6_report,
+        "p7_found": shred.p7_found,
+        "p7_levels": shred.p7_levels,
     }
 
 
