@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, packing
+from loomline.llm import bpe, knn, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": knn.p1_found,
+        "p1_neighbours": knn.p1_neighbours,
         "p8_ids": bpe.p8_ids,
         "p9_bins": packing.p9_bins,
         "p9_fill": packing.p9_fill,
