@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, knn, packing
+from loomline.llm import bpe, knn, linkage, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": knn.p1_found,
         "p1_neighbours": knn.p1_neighbours,
+        "p2_found": linkage.p2_found,
+        "p2_links": linkage.p2_links,
         "p8_ids": bpe.p8_ids,
         "p9_bins": packing.p9_bins,
         "p9_fill": packing.p9_fill,
