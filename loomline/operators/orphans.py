@@ -2,83 +2,88 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.session import stage
 from loomline.sources import tables
 
 #: A key is heavy if it holds at least this share of all references; so there are at most 1 / HEAVY_SHARE heavy keys, which bounds the broadcast.
 HEAVY_SHARE = 1e-4
 
+#: Counted key rows up to which a frame is broadcast (some MB); larger ones meet the other side in a shuffled join.
+BROADCAST_ROWS = 100_000
+
+KEY = ["_version", "missing_id"]
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has been counted to have few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
 def orphan_keys(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """Per ref_field, _version and missing_id the number of references whose id the version does not hold, and the reason.
+    """_version, missing_id, reason and n_refs of the referenced ids that their version does not hold.
 
-    refs: ref_field, _version, missing_id. held: _version, id (any number of rows). fixed: id (held by every version; small, see below).
+    refs: _version, missing_id, a row per reference. held: _version, id (any number of rows). fixed: id, held by every version (a short list).
 
-    References are counted per key and period before anything is shuffled. Keys with a large share of the references are looked up by broadcasting these
-    keys (at most 1 / heavy_share of them) to the scan of the held ids; the others meet the held ids in one shuffled anti-join.
+    References are counted per key and period before anything else is shuffled. Heavy keys, of which there are at most 1 / heavy_share, are broadcast to
+    the scan of the held ids; the remaining keys meet the held ids in a shuffled anti-join. Both results are united.
     Null and empty ids are no references. Empty refs give no rows; empty held makes every reference 'never'.
     """
-    counted = refs.filter(tables.filled("missing_id")).groupBy("ref_field", "_version", "missing_id").agg(F.count("*").alias("n_refs"))
-    fixed_ids = fixed.select(F.col("id").alias("missing_id")).distinct()
-    counted = counted.join(fixed_ids, "missing_id", "left_anti")
-    total = refs.agg(F.count("*").alias("n_all"))
-    # a one-row frame
-    marked = counted.join(F.broadcast(total)).withColumn("_heavy", F.col("n_refs") >= F.greatest(F.lit(1000.0), F.col("n_all") * heavy_share)).drop("n_all")
-    held = held.filter(tables.filled("id")).select(F.col("_version").alias("_held"), F.col("id").alias("missing_id"))
-    heavy = marked.filter("_heavy").drop("_heavy")
-    light = marked.filter("not _heavy").drop("_heavy")
-    spans = [F.collect_set("_held").alias("_versions"), F.min("_held").alias("_first"), F.max("_held").alias("_last")]  # a set of versions, not of rows
-    heavy_held = held.join(F.broadcast(heavy.select("missing_id").distinct()), "missing_id", "left_semi").groupBy("missing_id").agg(*spans)
-    light_held = held.groupBy("missing_id").agg(*spans)
-    found = reduce(DataFrame.unionByName, [heavy.join(F.broadcast(heavy_held), "missing_id", "left"), light.join(light_held, "missing_id", "left")])
-    here = F.coalesce(F.array_contains("_versions", F.col("_version")), F.lit(False))
+    spark = refs.sparkSession
+    counted = stage(refs.filter(tables.filled("missing_id")).groupBy(*KEY).agg(F.count("*").alias("n_refs")))
+    total = counted.agg(F.sum("n_refs")).first()[0] or 0
+    least = max(1000.0, total * heavy_share)
+    held = held.filter(tables.filled("id")).select("_version", F.col("id").alias("missing_id"))
+    heavy, light = counted.filter(F.col("n_refs") >= least), counted.filter(F.col("n_refs") < least)
+    present = held.join(F.broadcast(heavy.select(*KEY)), KEY, "left_semi").distinct()  # no more rows than heavy
+    lost = heavy.join(F.broadcast(present), KEY, "left_anti").unionByName(light.join(held, KEY, "left_anti"))
+    lost = stage(lost.join(small(fixed.select(F.col("id").alias("missing_id")).distinct()), "missing_id", "left_anti"))
+    if lost.isEmpty():
+        return spark.createDataFrame([], "_version long, missing_id string, n_refs long, reason string")
+    spans = held.join(small(lost.select("missing_id").distinct()), "missing_id", "left_semi").groupBy("missing_id").agg(F.min("_version").alias("_first"), F.max("_version").alias("_last"))
     reason = F.when(F.col("_first") < F.col("_version"), "gone").when(F.col("_last") > F.col("_version"), "later").otherwise("never")
-    return found.filter(~here).select("ref_field", "_version", "missing_id", "n_refs", reason.alias("reason"))
+    return stage(lost.join(spans, "missing_id", "left").select(*KEY, "n_refs", reason.alias("reason")))
 
 
-def references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Valid references of edges (both endpoints) and of Column properties (dataset_id), with their holders.
-
-    An edge key is valid if any row has it; only Column rows need the row with the highest _seq, as their reference is part of the properties.
-    dataset_id that is no JSON string is taken as its JSON text; invalid properties hold no reference.
-    """
-    keys = edges.filter(tables.filled("source_id", "target_id")).select("_version", "source_id", "target_id", "type").distinct()
-    ends = F.explode(F.array(F.struct(F.lit("edges.source_id").alias("f"), F.col("source_id").alias("x")), F.struct(F.lit("edges.target_id").alias("f"), F.col("target_id").alias("x")))).alias("_e")
-    of_edges = keys.select("_version", F.col("source_id").alias("holder_a"), F.col("target_id").alias("holder_b"), F.col("type").alias("holder_type"), ends).select(
-        F.col("_e.f").alias("ref_field"), "_version", "holder_a", "holder_b", "holder_type", F.col("_e.x").alias("missing_id")
-    )
-    slim = nodes.filter(tables.filled("id")).select("_version", "_seq", "id", "type", F.when(F.col("type") == "Column", F.get_json_object("properties", "$.dataset_id")).alias("missing_id"))
-    cols = tables.last_wins(slim, ["_version", "id"], ["_seq"]).filter((F.col("type") == "Column") & tables.filled("missing_id"))
-    of_cols = cols.select(F.lit("nodes.dataset_id").alias("ref_field"), "_version", F.col("id").alias("holder_a"), F.lit("").alias("holder_b"), F.lit("Column").alias("holder_type"), "missing_id")
-    return of_edges.unionByName(of_cols)
+def edge_references(edges: DataFrame) -> DataFrame:
+    """Both endpoints of each edge row with their holder; rows with a null or empty endpoint are ignored. Repeated rows are repeated here."""
+    ends = F.explode(F.array(*[F.struct(F.lit(f"edges.{c}").alias("f"), F.col(c).alias("x")) for c in ("source_id", "target_id")])).alias("_e")
+    rows = edges.filter(tables.filled("source_id", "target_id")).select("_version", F.col("source_id").alias("holder_a"), F.col("target_id").alias("holder_b"), F.col("type").alias("holder_type"), ends)
+    return rows.select(F.col("_e.f").alias("ref_field"), "_version", "holder_a", "holder_b", "holder_type", F.col("_e.x").alias("missing_id"))
 
 
-def orphan_references(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """Every reference in refs whose id its version does not hold, with its holder and the reason ('gone', 'later' or 'never').
+def column_references(nodes: DataFrame) -> DataFrame:
+    """dataset_id of each Column row, outdated rows included. A dataset_id that is no string counts as its JSON text; invalid JSON holds none."""
+    cols = nodes.filter(tables.filled("id")).filter("type = 'Column'")
+    return cols.select(F.lit("nodes.dataset_id").alias("ref_field"), "_version", F.col("id").alias("holder_a"), F.get_json_object("properties", "$.dataset_id").alias("missing_id"))
 
-    The orphan keys go back to their references the same way: heavy keys (bounded in number) by broadcast, the others by a shuffled join.
-    """
-    keys = orphan_keys(refs, held, fixed, heavy_share)
-    on = ["ref_field", "_version", "missing_id"]
-    total = refs.agg(F.count("*").alias("n_all"))
-    marked = keys.join(F.broadcast(total)).withColumn("_heavy", F.col("n_refs") >= F.greatest(F.lit(1000.0), F.col("n_all") * heavy_share))
-    heavy, light = marked.filter("_heavy").select(*on, "reason"), marked.filter("not _heavy").select(*on, "reason")
-    return refs.join(F.broadcast(heavy), on).unionByName(refs.join(light, on))
 
+def orphan_references(nodes: DataFrame, edges: DataFrame, fixed: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """Every valid reference of edges and of Column properties whose id its version does not hold, with its holder and the reason.
 
-def _inputs(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = tables.read(spark, base, "nodes"), tables.read(spark, base, "edges")
-    return references(nodes, edges), nodes.select("_version", "id"), tables.read(spark, base, "reference_nodes")
+    The orphan keys are found from all rows, valid or not; only the rows that hold an orphan key are then looked at again, and only their holders are
+    checked for validity. So the tables themselves are never sorted or shuffled whole: an edge key is valid if any row has it, and for a Column the row with
+    the highest _seq decides.
+    """
+    of_edges, of_cols = edge_references(edges), column_references(nodes)
+    refs = of_edges.select(*KEY).unionByName(of_cols.select(*KEY))
+    keys = orphan_keys(refs, nodes.select("_version", "id"), fixed, heavy_share).drop("n_refs")
+    keys = small(keys)
+    cols = ["ref_field", "_version", "holder_a", "holder_b", "holder_type", "missing_id", "reason"]
+    found = of_edges.join(keys, KEY).select(*cols).distinct()
+    holders = stage(of_cols.join(keys, KEY).select("_version", F.col("holder_a").alias("id")).distinct())
+    again = nodes.filter(tables.filled("id")).join(small(holders), ["_version", "id"], "left_semi").select("_version", "_seq", "id", "type", F.get_json_object("properties", "$.dataset_id").alias("missing_id"))
+    valid = tables.last_wins(again, ["_version", "id"], ["_seq"]).filter("type = 'Column'")
+    columns = valid.join(keys, KEY).select(F.lit("nodes.dataset_id").alias("ref_field"), "_version", F.col("id").alias("holder_a"), F.lit("").alias("holder_b"), F.lit("Column").alias("holder_type"), "missing_id", "reason")
+    return found.unionByName(columns)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return orphan_references(*_inputs(spark, base)).select("ref_field", "_version", "holder_a", "holder_b", "holder_type", "missing_id", "reason")
+    return orphan_references(*[tables.read(spark, base, t) for t in ("nodes", "edges", "reference_nodes")])
 
 
 def p6_report(spark: SparkSession, base: str) -> DataFrame:
     """Orphan references per table, period and reason."""
-    return orphan_keys(*_inputs(spark, base)).groupBy("ref_field", "_version", "reason").agg(F.sum("n_refs").alias("n_orphans"), F.count("*").alias("n_missing_ids"))
+    return p6_found(spark, base).groupBy("ref_field", "_version", "reason").agg(F.count("*").alias("n_orphans"), F.countDistinct("missing_id").alias("n_missing_ids"))
