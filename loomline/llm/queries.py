@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, knn, linkage, packing
+from loomline.llm import bpe, knn, linkage, packing, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": bpe.p8_ids,
         "p9_bins": packing.p9_bins,
         "p9_fill": packing.p9_fill,
+        "p10_found": sentences.p10_found,
     }
 
 
