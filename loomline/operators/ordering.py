@@ -27,3 +27,18 @@ def previous(df: DataFrame, group: list[str], order: list[str], value: Column, n
     rows = part.withColumn("_lag", F.lag("_v").over(w)).withColumn("_first", F.row_number().over(w) == 1)
     out = rows.join(handed, [*names, "_pid"], "left")
     return out.withColumn(name, F.when(F.col("_first"), F.col("_hand")).otherwise(F.col("_lag"))).drop("_v", "_pid", "_lag", "_first", "_hand", *names)
+
+
+def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """df with `name`: the 0-based position of each row in its group, in ascending order; order should be unique within a group.
+
+    As in previous(), rows are range-partitioned; the number of rows that a group has in earlier partitions is added to the position within the partition.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    part = stage(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()))
+    counts = part.groupBy(group, "_pid").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(group, "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(group, "_pid").orderBy(order)
+    rows = part.withColumn("_at", F.row_number().over(within) - 1).join(offset, [group, "_pid"])
+    return rows.withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_off", "_pid")

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.operators import drift, hierarchy, orphans, shred, snapshot_changes
+from loomline.plans import lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return lineage.QUERIES | {
         "p3_found": snapshot_changes.p3_found,
         "p4_found": drift.p4_found,
         "p4_table": drift.p4_table,
