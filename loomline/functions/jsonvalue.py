@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 import xxhash
@@ -17,13 +17,18 @@ WRITTEN_OUT = 400
 
 
 def _number(text: str) -> object:
-    d = Decimal(text)
-    if not d.is_finite():
-        return ("\0number", text)
-    d = d.normalize()
-    if d.as_tuple().exponent >= 0 and d.adjusted() <= WRITTEN_OUT:
-        return int(d)
-    return ("\0number", str(d))
+    try:
+        sign, digits, exponent = Decimal(text).as_tuple()
+    except InvalidOperation:
+        return ("\0number", text.lower())
+    whole = "".join(map(str, digits)).lstrip("0")
+    bare = whole.rstrip("0")
+    exponent += len(whole) - len(bare)
+    if not bare:
+        return 0
+    if exponent >= 0 and len(bare) + exponent <= WRITTEN_OUT:
+        return (-1 if sign else 1) * int(bare) * 10**exponent
+    return ("\0number", f"{'-' if sign else ''}{bare}e{exponent}")
 
 
 def _bare(value: object) -> object:

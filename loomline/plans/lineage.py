@@ -168,7 +168,7 @@ def vector_within(spark, base):
 def token_embedding(spark, base):
     n = tables.nodes(spark, base, newest(spark, base))
     v = n.select("id", token_sums(node_text(F.col("type"), F.col("name"), F.col("description"))).alias("v"))
-    return v.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", F.round("x", 6).alias("x"))
+    return v.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def hybrid_search(spark, base):

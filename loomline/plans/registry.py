@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.operators import drift, hierarchy, orphans, shred, snapshot_changes
-from loomline.plans import lineage
+from loomline.plans import lineage, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
