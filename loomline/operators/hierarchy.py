@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.session import release, stage
+from loomline.session import figure, release, stage
 from loomline.sources import tables
 
 #: Children of one parent that one window may hold; larger families are cut into runs of this many ids, which are then linked.
@@ -30,11 +30,11 @@ def _peel(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     layers. A pointer that leaves at a root drops out. While trees are left every round loses rows; when none is lost, all trees are gone. From then on
     the image only loses the nodes that hang below cycles; it stops shrinking when it is the cycles themselves. The rounds are logarithmic in the depth.
     """
-    hops, n = links, links.count()
+    hops, n = links, figure(links)
     while n:
         far = hops.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
         nxt = stage(hops.join(far, "parent").select("node", F.col("_up").alias("parent")))
-        left = nxt.count()
+        left = figure(nxt)
         if hops is not links:
             release(hops)
         hops, same, n = nxt, left == n, left
@@ -43,10 +43,10 @@ def _peel(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if not n:
         return hops, None
     image = stage(hops.select(F.col("parent").alias("node")).distinct())
-    size = image.count()
+    size = figure(image)
     while True:
         nxt = stage(image.join(hops, "node").select(F.col("parent").alias("node")).distinct())
-        left = nxt.count()
+        left = figure(nxt)
         release(image)
         image = nxt
         if left == size:
@@ -76,11 +76,12 @@ def _arcs(tree: DataFrame) -> DataFrame:
 
 def _rank(arcs: DataFrame) -> DataFrame:
     """Pointer jumping: n and s become the number and the sum of the arcs from here to the end of the tour; root is known to all."""
-    cur = stage(arcs)
-    while cur.filter("nxt is not null").limit(1).count():
+    going = F.col("nxt").isNotNull()
+    cur = stage(arcs, going=going)
+    while figure(cur, "going"):
         other = cur.select(F.col("arc").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("root").alias("_root"))
         moved = cur.filter("nxt is not null").join(other, "nxt").select("arc", F.col("_nxt").alias("nxt"), (F.col("n") + F.col("_n")).alias("n"), (F.col("s") + F.col("_s")).alias("s"), F.col("_root").alias("root"))
-        nxt = stage(moved.unionByName(cur.filter("nxt is null")))
+        nxt = stage(moved.unionByName(cur.filter("nxt is null")), going=going)
         release(cur)
         cur = nxt
     return cur

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import stage
+from loomline.session import figure, stage
 from loomline.sources import tables
 
 #: A key is heavy if it holds at least this share of all references; so there are at most 1 / HEAVY_SHARE heavy keys, which bounds the broadcast.
@@ -40,7 +40,7 @@ def orphan_keys(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share:
     present = held.join(F.broadcast(heavy.select(*KEY)), KEY, "left_semi").distinct()  # no more rows than heavy
     lost = heavy.join(F.broadcast(present), KEY, "left_anti").unionByName(light.join(held, KEY, "left_anti"))
     lost = stage(lost.join(small(fixed.select(F.col("id").alias("missing_id")).distinct()), "missing_id", "left_anti"))
-    if lost.isEmpty():
+    if not figure(lost):
         return spark.createDataFrame([], "_version long, missing_id string, n_refs long, reason string")
     spans = held.join(small(lost.select("missing_id").distinct()), "missing_id", "left_semi").groupBy("missing_id").agg(F.min("_version").alias("_first"), F.max("_version").alias("_last"))
     reason = F.when(F.col("_first") < F.col("_version"), "gone").when(F.col("_last") > F.col("_version"), "later").otherwise("never")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import SNAPSHOT_DATASET_WORDS, endpoint_type, is_global_scope, last_segment
 from loomline.model import CONTAINMENT, Graph, depth_in_range
-from loomline.session import release, stage
+from loomline.session import figure, release, stage
 
 
 def lineage(edges: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def walk(graph: Graph, starts: DataFrame, depth: int, upstream: bool = False) ->
         usable = links if hop == 1 and not upstream else links.filter("_line")
         found = frontier.select("root", "id").join(usable, "id").select("root", F.col("_to").alias("id")).distinct()
         new = stage(found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(hop)))
-        if new.isEmpty():
+        if not figure(new):
             release(new)
             break
         seen, frontier = seen.unionByName(new), new
@@ -100,7 +100,7 @@ def _reach(graph: Graph, starts: DataFrame, depth: int, upstream: bool) -> DataF
     for hop in range(1, depth_in_range(depth) + 1):
         usable = links if hop == 1 and not upstream else links.filter("_line")
         new = stage(frontier.join(usable, "id").select(F.col("_to").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if new.isEmpty():
+        if not figure(new):
             break
         seen, frontier = seen.unionByName(new), new
     return seen
@@ -123,10 +123,9 @@ def dag_levels(graph: Graph) -> DataFrame:
     levels = done
     while True:
         gain = wave.withColumnRenamed("id", "source_id").join(e, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("_got"), (F.max("level") + 1).alias("_lvl"))
-        nxt = stage(state.filter("need > 0").join(gain, "id", "left").select("id", (F.col("need") - F.coalesce("_got", F.lit(0))).alias("need"), F.greatest("level", F.coalesce("_lvl", F.lit(0))).alias("level")))
-        state = nxt
+        state = stage(state.filter("need > 0").join(gain, "id", "left").select("id", (F.col("need") - F.coalesce("_got", F.lit(0))).alias("need"), F.greatest("level", F.coalesce("_lvl", F.lit(0))).alias("level")), freed=F.col("need") == 0)
         wave = state.filter("need = 0").select("id", "level")
-        if wave.isEmpty():
+        if not figure(state, "freed"):
             break
         levels = levels.unionByName(wave)
     # never freed: the level reached so far
