@@ -24,6 +24,15 @@ NUMBERED = frozenset("no nos nr nrn vol ch sec fig figs p pp art par app eq ca a
 OTHERS = frozenset("etc inc ltd co corp jr esp incl usw bzw ggf std mo di mi do sa so ex av ej ee uu s.a a.m p.m e.g i.e u.s u.k e.u ph.d мин тыс млн млрд янв февр авг сент окт нояб дек д е т т.д т.п т.е βλ δηλ π.χ κ.ά".split())
 #: Those that may end a sentence even if a number follows.
 FINAL = frozenset("etc inc ltd co corp jr usw a.m p.m u.s u.k e.u ph.d s.a uu std".split())
+#: Words that mostly start sentences where they are capitalised.
+STARTERS = frozenset(
+    "the a an this that these those it its we you he she they i there here all some no not in on at after before then if when while as for from with by to but and or so set please who what which why how "
+    "der die das ein eine es wir sie er ich nach vor im in am an auf bei wenn bitte wer was welche warum vgl siehe "
+    "le la les un une des ce cette il elle nous vous ils on après avant dans si quand qui quels quelle pourquoi voir "
+    "el los las un una este esta nosotros tras antes en si cuando quién qué cuál véase "
+    "в на после до если когда кто что какие почему не мы он она они это все см "
+    "ο η το οι τα μετά πριν αν όταν ποιος ποιες γιατί".split()
+)
 KNOWN = TITLES | NUMBERED | OTHERS
 
 #: Verbs of saying that close the clause after a quotation, in scripts without capitals.
@@ -130,6 +139,8 @@ class Judge:
         elif yes <= no:
             y, n = self.corpus("s" + word)
             yes, no = yes + y, no + n
+        if not yes and not no:
+            return word.lower() in STARTERS
         return yes > no
 
 
