@@ -365,7 +365,7 @@ QUERIES = {
     "full_graph_counts": counts,
     "dedupe_last_wins_nodes": lambda s, b: tables.nodes(s, b).select("_version", "id", "_seq"),
     "dedupe_last_wins_edges": lambda s, b: tables.edges(s, b).select("_version", "source_id", "target_id", "type", "_seq"),
-    "dedupe_last_wins_vectors": lambda s, b: tables.vectors(s, b).select("id", "_seq", F.size("vector").alias("dim")),
+    "dedupe_last_wins_vectors": lambda s, b: tables.vectors(s, b).select("id", "_seq", F.coalesce(F.size("vector"), F.lit(-1)).alias("dim")),
     "synthesized_endpoints": synthesized,
     "timeline": lambda s, b: store.timeline(tables.read(s, b, "commits")),
     "as_of_version_join": as_of,

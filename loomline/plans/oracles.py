@@ -138,13 +138,66 @@ tops AS (SELECT id, anc AS root_id, d FROM up WHERE anc NOT IN (SELECT child FRO
 loops AS (SELECT DISTINCT id FROM up WHERE d > 0 AND id = anc),
 below AS (SELECT anc AS id, count(*) AS n FROM up WHERE d > 0 AND id IN (SELECT id FROM tops) GROUP BY 1)"""
 
+_DAG = f"""{PRELUDE}, bb AS (SELECT id FROM n WHERE type IN ('Dataset', 'Pipeline')),
+be AS MATERIALIZED (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE type <> 'BELONGS_TO' AND source_id <> target_id AND source_id IN (SELECT id FROM bb) AND target_id IN (SELECT id FROM bb)),
+clo AS (SELECT s, t FROM be UNION SELECT clo.s, be.t FROM clo JOIN be ON be.s = clo.t),
+bad AS (SELECT s AS id FROM clo WHERE s = t UNION SELECT t FROM clo WHERE s IN (SELECT s FROM clo WHERE s = t)),
+lp AS (SELECT id, 0 AS level FROM bb WHERE id NOT IN (SELECT t FROM be) UNION SELECT be.t, level + 1 FROM lp JOIN be ON be.s = lp.id WHERE be.t NOT IN (SELECT id FROM bad)),
+good AS (SELECT id, max(level) AS level FROM lp GROUP BY id),
+bl AS (SELECT id, level FROM good UNION ALL SELECT b.id, coalesce(max(g.level) + 1, 0) FROM bad b LEFT JOIN be ON be.t = b.id LEFT JOIN good g ON g.id = be.s GROUP BY b.id),
+cl AS (SELECT n.id, coalesce(bl.level, 0) AS level FROM n LEFT JOIN bl ON bl.id = json_extract_string(n.properties, '$.dataset_id') WHERE type = 'Column'),
+kn AS (SELECT * FROM bl UNION ALL SELECT * FROM cl),
+ul AS (SELECT n.id, coalesce(max(kn.level), 0) + 1 AS level FROM n LEFT JOIN e ON e.target_id = n.id LEFT JOIN kn ON kn.id = e.source_id WHERE n.type = 'User' GROUP BY n.id),
+dl AS (SELECT * FROM kn UNION ALL SELECT * FROM ul UNION ALL SELECT id, 0 FROM n WHERE type NOT IN ('Dataset', 'Pipeline', 'Column', 'User'))"""
+
+
+def _latex(text: str) -> str:
+    """The same clean-up as nested calls."""
+    steps = [(r"\\" + w + r"\{([^}]+)\}", r"\1") for w in ("text", "mathrm", "mathbf", "mathit")] + [(r"\\_", "_")]
+    for names, char in (("rightarrow|to", "→"), ("leftarrow", "←"), ("Rightarrow", "⇒"), ("Leftarrow", "⇐"), ("leftrightarrow", "↔"), ("Leftrightarrow", "⇔"), ("longrightarrow|mapsto|implies", "⟶"),
+                        ("approx", "≈"), ("neq", "≠"), ("le|leq", "≤"), ("ge|geq", "≥"), ("times", "×"), ("cdot", "·"), ("dots|cdots", "...")):
+        steps += [(rf"\$\s*\\+(?:{names})\s*\$", char), (rf"\\+(?:{names})\b", char)]
+    steps += [(r"\$([^$\n]*?[→←⇒⇐↔⇔⟶⟵⟹↦][^$\n]*?)\$", r"\1"), (r"\{([→←⇒⇐↔⇔⟶⟵⟹↦])\}", r"\1")]
+    for a, b in steps:
+        text = f"regexp_replace({text}, '{a}', '{b}', 'g')"
+    return text
+
+
+_JSON = """list_sort(list_filter(list_transform(json_keys(properties), lambda k: k || ':' || CASE json_type(properties, '$."' || k || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 's' || json_extract_string(properties, '$."' || k || '"')
+WHEN 'UBIGINT' THEN 'n' || json_extract_string(properties, '$."' || k || '"')::DOUBLE::VARCHAR WHEN 'BIGINT' THEN 'n' || json_extract_string(properties, '$."' || k || '"')::DOUBLE::VARCHAR WHEN 'DOUBLE' THEN 'n' || json_extract_string(properties, '$."' || k || '"')::DOUBLE::VARCHAR
+ELSE json_extract(properties, '$."' || k || '"')::VARCHAR END), lambda x: x IS NOT NULL))"""
+_CHANGES = f"""{PRELUDE}, rec AS (SELECT 'node' AS rec_kind, _version, id AS key_a, '' AS key_b, '' AS key_c, concat_ws(chr(1), type, name, coalesce(description, ''), {_JSON}::VARCHAR) AS c FROM vn UNION ALL
+SELECT 'edge', _version, source_id, target_id, type, {_JSON}::VARCHAR FROM ve),
+st AS (SELECT coalesce(a.rec_kind, b.rec_kind) AS rec_kind, coalesce(b._version, a._version + 1) AS _version, coalesce(a.key_a, b.key_a) AS key_a, coalesce(a.key_b, b.key_b) AS key_b, coalesce(a.key_c, b.key_c) AS key_c,
+CASE WHEN a.key_a IS NULL THEN 'added' WHEN b.key_a IS NULL THEN 'removed' WHEN a.c IS DISTINCT FROM b.c THEN 'changed' END AS change_kind
+FROM rec a FULL JOIN rec b ON b._version = a._version + 1 AND a.rec_kind = b.rec_kind AND a.key_a = b.key_a AND a.key_b = b.key_b AND a.key_c = b.key_c)"""
+
+_ITEMS = f"""{_RUNS.replace("WITH pl", "WITH RECURSIVE pl")}, mpl AS (SELECT file_id, regexp_replace(payload, '^[\\s\\x{{FEFF}}\\x{{A0}}]+|[\\s\\x{{FEFF}}\\x{{A0}}]+$', '', 'g') AS p FROM manifest_files),
+mpw AS (SELECT file_id, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(json_extract_string(p, '$'), '^[\\s\\x{{FEFF}}\\x{{A0}}]+|[\\s\\x{{FEFF}}\\x{{A0}}]+$', '', 'g') ELSE p END AS p FROM mpl), mok AS (SELECT * FROM mpw WHERE json_valid(p)),
+mem AS (SELECT file_id, 'nodes' AS section, unnest(json_keys(p, '$.nodes')) AS id, p -> '$.nodes' AS part FROM mok WHERE json_type(p, '$.nodes') = 'OBJECT' UNION ALL
+        SELECT file_id, 'sources', unnest(json_keys(p, '$.sources')), p -> '$.sources' FROM mok WHERE json_type(p, '$.sources') = 'OBJECT'),
+one AS (SELECT file_id, section || '/' || id AS path, json_extract(part, '$."' || id || '"') AS x FROM mem WHERE json_type(json_extract(part, '$."' || id || '"')) = 'OBJECT'),
+ck AS (SELECT file_id, path, k, json_extract(x, '$.columns."' || k || '"') AS c FROM (SELECT *, unnest(json_keys(x, '$.columns')) AS k FROM one WHERE json_type(x, '$.columns') = 'OBJECT') UNION ALL
+       SELECT file_id, path, i::VARCHAR, json_extract(x, '$.columns[' || i || ']') FROM (SELECT *, unnest(range(json_array_length(x, '$.columns')::BIGINT)) AS i FROM one WHERE json_type(x, '$.columns') = 'ARRAY')),
+dp AS (SELECT file_id, path, i, json_extract_string(x, '$.depends_on.nodes[' || i || ']') AS d FROM (SELECT *, unnest(range(json_array_length(x, '$.depends_on.nodes')::BIGINT)) AS i FROM one WHERE json_type(x, '$.depends_on.nodes') = 'ARRAY')),
+io AS (SELECT file_id, pos, side, i, json_extract(x, '$.' || side || '[' || i || ']') AS m FROM (SELECT file_id, pos, side, x, unnest(range(json_array_length(x, '$.' || side)::BIGINT)) AS i FROM nm, (VALUES ('inputs'), ('outputs')) s(side) WHERE json_type(x, '$.' || side) = 'ARRAY')),
+pt AS (SELECT file_id, pos || '/' || side || '/' || i AS path, pos::VARCHAR AS parent, trim(concat_ws('.', nullif(m ->> '$.namespace', ''), nullif(m ->> '$.name', '')), '.') AS name, m FROM io WHERE json_type(m) = 'OBJECT'),
+fd AS (SELECT file_id, path, json_extract(m, '$.facets.schema.fields') AS f FROM pt WHERE name <> '' UNION ALL
+       SELECT file_id, path || '/fields/' || i, json_extract(f, '$[' || i || '].fields') FROM (SELECT *, unnest(range(json_array_length(f)::BIGINT)) AS i FROM fd WHERE json_type(f) = 'ARRAY') WHERE json_type(f, '$[' || i || ']') = 'OBJECT'),
+fi AS (SELECT file_id, path || '/fields/' || i AS path, path AS parent, json_extract(f, '$[' || i || ']') AS c FROM (SELECT *, unnest(range(json_array_length(f)::BIGINT)) AS i FROM fd WHERE json_type(f) = 'ARRAY'))
+SELECT file_id, path AS item_path, '' AS parent_path, coalesce(x ->> '$.name', '') AS item_name FROM one UNION ALL
+SELECT file_id, path || '/columns/' || k, path, coalesce(c ->> '$.name', '') FROM ck WHERE json_type(c) = 'OBJECT' UNION ALL
+SELECT file_id, path || '/depends_on/' || i, path, d FROM dp WHERE d IS NOT NULL UNION ALL
+SELECT file_id, pos::VARCHAR, '', pipeline_id FROM nm UNION ALL SELECT file_id, path, parent, name FROM pt WHERE name <> '' UNION ALL
+SELECT file_id, path, parent, coalesce(c ->> '$.name', '') FROM fi WHERE json_type(c) = 'OBJECT'"""
+
 SQL: dict[str, str] = {
     "graph_nodes": f"{PRELUDE} SELECT id, type, name, coalesce(description, '') AS description FROM n",
     "graph_edges": f"{PRELUDE} SELECT source_id, target_id, type FROM e",
     "full_graph_counts": f"{PRELUDE} SELECT _version, type, count(*) AS n, 'node' AS kind FROM vn GROUP BY 1, 2 UNION ALL SELECT _version, type, count(*), 'edge' FROM ve GROUP BY 1, 2",
     "dedupe_last_wins_nodes": f"{PRELUDE} SELECT _version, id, _seq FROM vn",
     "dedupe_last_wins_edges": f"{PRELUDE} SELECT _version, source_id, target_id, type, _seq FROM ve",
-    "dedupe_last_wins_vectors": f"WITH {_VALID_VECTORS} SELECT id, _seq, len(vector)::INT AS dim FROM vv",
+    "dedupe_last_wins_vectors": f"WITH {_VALID_VECTORS} SELECT id, _seq, coalesce(len(vector), -1)::INT AS dim FROM vv",
     "synthesized_endpoints": f"{PRELUDE} SELECT id, type, name, description FROM syn, v WHERE _version = version",
     "timeline": "SELECT version, strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, epoch_ms(ts) AS timestamp_ms, operation FROM commits",
     "as_of_version_join": "SELECT doc_id, (SELECT arg_max(version, ts) FROM commits c WHERE c.ts <= d.written_at + INTERVAL 100 MILLISECOND) AS version FROM documents d",
@@ -219,6 +272,11 @@ CASE WHEN section = 'nodes' AND json_type(x, '$.depends_on.nodes') = 'ARRAY' THE
     "ingest_sql_columns": f"SELECT {_TRIPLE} || '.' || coalesce(column_name, '') AS id, {_TRIPLE} AS dataset_id, coalesce(is_nullable = 'YES', false) AS is_nullable, count(*) AS n FROM info_columns GROUP BY 1, 2, 3",
     "ingest_openlineage": f"{_RUNS} SELECT nm.file_id, nm.pos, nm.pipeline_id, count(*) FILTER (side = 'inputs' AND id <> '')::INT AS n_inputs, count(*) FILTER (side = 'outputs' AND id <> '')::INT AS n_outputs FROM nm LEFT JOIN po USING (file_id, pos) GROUP BY 1, 2, 3",
     "ingest_openlineage_edges": f"{_RUNS} SELECT CASE side WHEN 'inputs' THEN id ELSE pipeline_id END AS source_id, CASE side WHEN 'inputs' THEN pipeline_id ELSE id END AS target_id, CASE side WHEN 'inputs' THEN 'CONSUMED_BY' ELSE 'PRODUCED_BY' END AS type, count(*) AS n FROM po WHERE id <> '' AND pipeline_id <> '' GROUP BY 1, 2, 3",
+    "dag_levels": f"{_DAG} SELECT id, level::INT AS level FROM dl",
+    "layout_positions": f"{_DAG} SELECT id, level::INT AS level, level * 360.0::DOUBLE AS x, (row_number() OVER (PARTITION BY level ORDER BY id) - 1 - (count(*) OVER (PARTITION BY level) - 1) / 2.0::DOUBLE) * 280 AS y FROM dl",
+    "latex_clean": "SELECT doc_id, md5(" + _latex(r"'$\rightarrow$ \text{x} ' || text || ' a\_b $\leq$ \times'") + ") AS clean FROM documents",
+    "p3_found": f"{_CHANGES} SELECT st.* FROM st, v WHERE change_kind IS NOT NULL AND _version BETWEEN 2 AND version",
+    "p7_found": _ITEMS,
     "p5_found": f"""{_HIER} SELECT i.id AS node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.d, -1)::INT AS tree_depth, CASE WHEN t.id IS NULL THEN -1 ELSE coalesce(b.n, 0) END AS n_below,
 CASE WHEN t.id IS NOT NULL THEN 'tree' WHEN i.id IN (SELECT id FROM loops) THEN 'on_cycle' ELSE 'under_cycle' END AS node_state FROM ids i LEFT JOIN tops t ON t.id = i.id LEFT JOIN below b ON b.id = i.id""",
     "p5_descendants": f"{_HIER} SELECT anc AS node_id, id AS below_id, d::INT AS levels_below FROM up WHERE d > 0 AND id IN (SELECT id FROM tops)",
