@@ -23,4 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """WITH vv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY _version DESC, _seq DESC) AS rn FROM vectors WHERE id <> '') WHERE rn = 1 AND vector IS NOT NULL AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+nb AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS c FROM vv a JOIN vv b ON a.id <> b.id),
+tk AS (SELECT a, b, c FROM nb QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+SELECT x.a AS id_a, x.b AS id_b FROM tk x JOIN tk y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.c >= 0.9""",
+    }
