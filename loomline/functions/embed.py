@@ -62,9 +62,8 @@ def token_sums(text: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector over its length; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """The vector over its length; a zero vector stays. The length is bound once, not computed again for each element."""
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"), lambda s: F.transform(v, lambda x: F.when(s > 0, x.cast("double") / F.sqrt(s)).otherwise(x.cast("double"))))
 
 
 def dot(a: Column, b: Column) -> Column:

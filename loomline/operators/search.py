@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.embed import dot, unit
+from loomline.functions.embed import dot
 from loomline.functions.text import search_terms
 
 MAX_DISTANCE = 0.75
@@ -38,9 +40,11 @@ def within(vectors: DataFrame, query: list[float], max_distance: float = MAX_DIS
     another length raises an error."""
     if not any(query):
         return vectors.withColumn("distance", F.lit(0.0)).limit(0)
-    q = F.array(*[F.lit(float(x)) for x in query])
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
+    q = F.array(*[F.lit(float(x) / length) for x in query])
     fits = F.when(F.size("vector") == len(query), F.col("vector")).otherwise(F.raise_error(F.lit("vector and query differ in length")))
-    d = vectors.filter("id is not null and vector is not null").withColumn("distance", 1 - dot(unit(fits), unit(q)))
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    d = vectors.filter("id is not null and vector is not null").withColumn("distance", F.when(norm > 0, 1 - dot(fits, q) / norm).otherwise(1.0))
     return d.filter(F.col("distance") <= max_distance)
 
 
