@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomline.functions.payloads import load, text_of
 from loomline.sources import tables
 
-LEVELS = "file_id long, kind string, leaves array<struct<path: string, reps: array<int>, defs: array<int>, vals: array<string>>>"
+LEVELS = "file_id string, kind string, leaves array<struct<path: string, reps: array<int>, defs: array<int>, vals: array<string>>>"
 
 
 @dataclass
@@ -236,7 +236,8 @@ def _assemble_rows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def levels(payloads: DataFrame) -> DataFrame:
     """Level columns of payloads (file_id, kind 'manifest' or 'run', payload). Unreadable and null payloads give no row."""
-    return payloads.select("file_id", "kind", "payload").mapInPandas(_load_levels, LEVELS)
+    text = payloads.select(F.col("file_id").cast("string").alias("file_id"), "kind", "payload")  # pandas has no null integers
+    return text.mapInPandas(_load_levels, LEVELS).withColumn("file_id", F.col("file_id").cast("long"))
 
 
 def items(level_rows: DataFrame) -> DataFrame:
@@ -245,7 +246,8 @@ def items(level_rows: DataFrame) -> DataFrame:
     A null or missing name gives ''; entries of nodes, sources, columns, fields and ports that are no objects, ports with an empty id and null
     dependencies are left out with all below them; positions count every entry. Repeated file_ids give repeated items.
     """
-    return level_rows.mapInPandas(_assemble_rows, "file_id long, item_path string, parent_path string, item_name string")
+    text = level_rows.withColumn("file_id", F.col("file_id").cast("string"))
+    return text.mapInPandas(_assemble_rows, "file_id string, item_path string, parent_path string, item_name string").withColumn("file_id", F.col("file_id").cast("long"))
 
 
 def payloads(spark: SparkSession, base: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_levels_of_a_textbook_document():
 
 
 def test_unreadable_payloads_give_nothing(spark):
-    df = spark.createDataFrame([(1, "run", None), (2, "run", "{"), (3, "run", json.dumps(json.dumps(RUN))), (4, "manifest", "")], "file_id long, kind string, payload string")
+    df = spark.createDataFrame([(1, "run", None), (2, "run", "{"), (3, "run", json.dumps(json.dumps(RUN))), (4, "manifest", ""), (None, "run", "[]"), (None, "manifest", "{}")], "file_id long, kind string, payload string")
     assert {r.file_id for r in shred.items(shred.levels(df)).collect()} == {3}
     assert shred.items(shred.levels(df.limit(0))).count() == 0
 
