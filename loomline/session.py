@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir. Only a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.sparkContext.setCheckpointDir(root)
@@ -40,7 +40,7 @@ def stage(df: DataFrame, **sums: Column) -> DataFrame:
 
 
 def figure(staged: DataFrame, name: str = "rows") -> int:
-    return staged._figures[name] or 0
+    return staged._figures.get(name) or 0  # a plan that is optimised away as empty reports nothing
 
 
 def release(*frames: DataFrame) -> None:

@@ -18,7 +18,7 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     rest = [c for c, t in df.dtypes if c not in keys + order and not t.startswith(("map", "variant"))]
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order + rest])
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return df.withColumn("__last", F.row_number().over(w)).filter("__last = 1").drop("__last")
 
 
 def filled(*names: str) -> Column:
