@@ -152,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
 
     needed = stage(chunk_keys(texts, words_of))
     table = stage(word_ids(needed.select("key").distinct(), path))
-    full = with_lookup(texts, needed.join(table, "key"), put, "doc_id long, ids array<int>")
+    full = with_lookup(texts, needed.join(table, "key"), put, "ids array<int>")
     blank = docs.filter("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return full.unionByName(blank)
 

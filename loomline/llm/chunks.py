@@ -13,9 +13,9 @@ CHUNK_CHARS = 1_000_000
 
 
 def chunked(docs: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, text and chunk: documents by a hash of their whole row, so that a repeated doc_id or a hot source does not make a large chunk. Null and
+    """doc_id (as text, since pandas has no null integers), text and chunk: documents by a hash of their whole row, so that a repeated doc_id or a hot source does not make a large chunk. Null and
     empty texts have no place here and are left out; so an empty table has no chunks."""
-    docs = docs.select("doc_id", "text").filter("text is not null and text <> ''")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null and text <> ''")
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // chars))
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
@@ -35,9 +35,10 @@ def chunk_keys(docs: DataFrame, keys: Callable[[list[str]], set[str]]) -> DataFr
 
 
 def with_lookup(docs: DataFrame, found: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work(documents of a chunk, rows of found for the chunk) for each chunk: one bounded group per call."""
+    """work(documents of a chunk, rows of found for the chunk) for each chunk: one bounded group per call. work returns doc_id as text, too."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return work(left, right)
 
-    return docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
+    out = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

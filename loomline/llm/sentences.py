@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
 import regex
@@ -54,6 +55,7 @@ _GREEK = regex.compile(r"\p{Greek}")
 _THAI = regex.compile(r"\p{Thai}")
 _SPACE = regex.compile(r"\s+")
 _SPACED_CLOSER = regex.compile(r"[^\S\n\r]*[»›]")
+_IDENTIFIER = regex.compile(r"[_\p{Nd}]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*")
 
 Counts = Callable[[str], tuple[int, int]]
@@ -77,41 +79,48 @@ def _before(text: str, start: int, at: int) -> str:
 
 
 def _identifier(word: str) -> bool:
-    return "_" in word or any(c.isdigit() for c in word)
+    return _IDENTIFIER.search(word) is not None
 
 
 def evidence(text: str) -> Counter:
     """Unambiguous occurrences in one document: ('a', x) x. is an abbreviation, ('w', x) x is a word, ('s', X) X starts sentences, ('n', X) X is
     capitalised within a sentence."""
     out: Counter = Counter()
-    opened = True  # at the start of a paragraph
+    opened: bool | None = True  # at the start of a paragraph; None: it may be the start of a sentence or not
     last_end = 0
     for m in _WORD.finditer(text):
         w, a, b = m.group(), m.start(), m.end()
         gap = text[last_end:a]
-        if last_end == 0 or _BLANK.search(gap) or (gap.strip(" \t\xa0\"“«„'") and gap.strip()[-1:] in "!?。！？।؟"):
+        if last_end == 0:
             opened = True
-        elif "." in gap or "…" in gap or ";" in gap or "\n" in gap:
-            opened = None  # it may be one or not
-        else:
+        elif gap in (" ", ", "):
             opened = False
-        if w[0].isupper() and not _identifier(w) and (len(w) > 1 or text[b : b + 1] == " "):
+        else:
+            marks = gap.strip(" \t\xa0\"“«„'")
+            if (marks and marks[-1] in "!?。！？।؟") or _BLANK.search(gap):
+                opened = True
+            else:
+                opened = None if any(c in gap for c in ".…;\n") else False
+        last_end = b
+        if _identifier(w):
+            continue
+        if w[0].isupper() and (len(w) > 1 or text[b : b + 1] == " "):
             if opened:
                 out["s", w] += 1
             elif opened is False and not w.isupper():
                 out["n", w] += 1
-        if not _identifier(w) and not _CASELESS.search(w):
-            nxt = text[b : b + 1]
-            if nxt == "." and text[b + 1 : b + 2] != ".":
-                after = text[b + 1 :b + 4]
-                follow = after.lstrip()
-                if (after and after[0] in ",;:") or (after[:1].isspace() and "\n" not in after and follow[:1].islower() and not _identifier(_word_at(text, b + 1 + len(after) - len(follow)))):
-                    out["a", w.lower()] += 1
-                elif not after.strip() and (b + 1 >= len(text) or _BLANK.match(text, b + 1)):
-                    out["w", w.lower()] += 1  # at the end of a paragraph
-            elif w[-1].isalpha():
-                out["w", w.lower()] += 1
-        last_end = b
+        if not w.isascii() and _CASELESS.search(w):
+            continue
+        nxt = text[b : b + 1]
+        if nxt == "." and text[b + 1 : b + 2] != ".":
+            after = text[b + 1 : b + 4]
+            follow = after.lstrip()
+            if (after and after[0] in ",;:") or (after[:1].isspace() and "\n" not in after and follow[:1].islower() and not _identifier(_word_at(text, b + 1 + len(after) - len(follow)))):
+                out["a", w.lower()] += 1
+            elif not after.strip() and (b + 1 >= len(text) or _BLANK.match(text, b + 1)):
+                out["w", w.lower()] += 1  # at the end of a paragraph
+        elif w[-1].isalpha():
+            out["w", w.lower()] += 1
     return out
 
 
@@ -119,7 +128,11 @@ class Judge:
     """Says of words of a document what they are: from the document, else from the corpus, else from the lists and the form."""
 
     def __init__(self, text: str, corpus: Counts):
-        self.here, self.corpus = evidence(text), corpus
+        self.text, self.corpus = text, corpus
+
+    @cached_property
+    def here(self) -> Counter:
+        return evidence(self.text)
 
     def abbreviation(self, word: str) -> bool:
         w = word.lower()
@@ -367,7 +380,7 @@ def sentences(docs: DataFrame) -> DataFrame:
 
     table = stage(corpus_counts(texts))
     needed = chunk_keys(texts, wanted)
-    return with_lookup(texts, needed.join(table, "key"), cut, "doc_id long, s_start long, s_end long")
+    return with_lookup(texts, needed.join(table, "key"), cut, "s_start long, s_end long")
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:

@@ -47,6 +47,9 @@ def test_documents(spark, official):
     got = sorted((r.doc_id, tuple(r.ids)) for r in bpe.encode(docs, PATH).collect())
     assert got == sorted((i % 6, tuple(official(t or ""))) for i, t in enumerate(texts))
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+    odd = spark.createDataFrame([(None, "x"), ((1 << 60) + 1, "x"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in bpe.encode(odd, PATH).collect()) == [(0, 0), (0, 1), ((1 << 60) + 1, 1)]
+    assert {r.doc_id for r in sentences(odd).collect()} == {None, (1 << 60) + 1}
 
 
 def test_chunks_are_bounded_without_loss(spark):
