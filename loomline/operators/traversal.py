@@ -27,6 +27,13 @@ def complete(graph: Graph) -> Graph:
     return Graph(graph.nodes.unionByName(missing_endpoints(graph.nodes, graph.edges)), graph.edges)
 
 
+def _links(graph: Graph, upstream: bool) -> DataFrame:
+    """id, _to, _line: the distinct steps of a direction, written once; so a hop scans three columns and, with a small frontier, shuffles no edge."""
+    near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    steps = graph.edges.groupBy(F.col(near).alias("id"), F.col(far).alias("_to")).agg(F.max(~F.col("type").eqNullSafe(CONTAINMENT)).alias("_line"))
+    return stage(steps)
+
+
 def walk(graph: Graph, starts: DataFrame, depth: int, upstream: bool = False) -> DataFrame:
     """root, id, level for every id within depth hops of each root; the root has level 0.
 
@@ -35,8 +42,7 @@ def walk(graph: Graph, starts: DataFrame, depth: int, upstream: bool = False) ->
     shuffles when it is not, keeps what is new, and is staged, so the plan does not grow with the depth.
     """
     depth = depth_in_range(depth)
-    near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    links = graph.edges.select(F.col(near).alias("id"), F.col(far).alias("_to"), (~F.col("type").eqNullSafe(CONTAINMENT)).alias("_line")).distinct()
+    links = _links(graph, upstream)
     seen = stage(starts.select("root").distinct().join(graph.nodes.select(F.col("id").alias("root")), "root", "left_semi").select("root", F.col("root").alias("id"), F.lit(0).alias("level")))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -93,8 +99,7 @@ def scoped_ids(graph: Graph, scope: str, depth: int = 5) -> DataFrame:
 
 
 def _reach(graph: Graph, starts: DataFrame, depth: int, upstream: bool) -> DataFrame:
-    near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    links = graph.edges.select(F.col(near).alias("id"), F.col(far).alias("_to"), (~F.col("type").eqNullSafe(CONTAINMENT)).alias("_line"))
+    links = _links(graph, upstream)
     seen = starts.select(F.col("root").alias("id")).distinct()
     frontier = seen
     for hop in range(1, depth_in_range(depth) + 1):
