@@ -12,6 +12,7 @@ from loomline.functions.embed import embed, node_text, token_sums, unit
 from loomline.functions.text import intent
 from loomline.model import Graph
 from loomline.operators import diff, prompts, search, traversal
+from loomline.session import ship
 from loomline.sources.store import Store
 
 
@@ -51,6 +52,7 @@ class LineageEngine:
 
     @classmethod
     def at(cls, spark: SparkSession, base: str) -> LineageEngine:
+        ship(spark)
         return cls(Store(spark, base))
 
     def full_graph(self, as_of: str | int | None = None) -> Graph:

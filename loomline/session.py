@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,23 @@ def _cleanup() -> None:
             break
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once per application, so that executors need no copy of it and the working directory does not matter."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="loomline-")) / "loomline.zip"  # only the driver reads it; Spark serves it to the executors
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(out))
+    _shipped.add(sc.applicationId)
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks that a compute-bound stage should have: a few per core, so that a straggler does not hold the stage."""
     return max(4, 3 * spark.sparkContext.defaultParallelism)
