@@ -185,6 +185,21 @@ def changes(leaves: DataFrame) -> DataFrame:
 #: Target columns of the consistent Dataset table, with their types.
 TARGET = {"database": "string", "schema": "string", "table_type": "string", "owner": "string", "row_count": "bigint", "tags": "array<string>", "pii": "boolean", "cost_center": "string"}
 
+#: Target columns of the records of manifests, by kind: metadata, objects of nodes and sources with their inner objects opened, column objects.
+MANIFEST_TARGETS = {
+    "metadata": {"dbt_version": "string", "project_name": "string", "generator": "string", "schema_url": "string"},
+    "node": {
+        "name": "string", "resource_type": "string", "database": "string", "schema": "string", "alias": "string", "description": "string", "owner": "string", "materialized": "string",
+        "enabled": "boolean", "priority": "bigint", "tier": "bigint", "checksum": "string", "tags": "array<string>", "depends_on": "array<string>", "columns": "string",
+    },
+    "column": {"name": "string", "description": "string", "data_type": "string", "nullable": "boolean", "index": "bigint"},
+}
+
+#: Inner fields of manifest records that are target columns under a plain name.
+INNER = {"node": {"meta.owner": "owner", "meta.tier": "tier", "depends_on.nodes": "depends_on"}}
+
+RECORDS = "origin string, group_key string, step_no long, generated_at timestamp, rec_kind string, rec_key string, record string"
+
 
 def ingest(records: DataFrame, text: str, target: dict[str, str], approved: dict[str, str] | None = None) -> DataFrame:
     """The records with one typed column per target field and `_rescued`, the JSON of all members that are unknown or cannot be cast.
@@ -213,11 +228,76 @@ def ingest(records: DataFrame, text: str, target: dict[str, str], approved: dict
     return df.select(*records.columns, *out, col)
 
 
-def approved_names(report: DataFrame, target: dict[str, str]) -> dict[str, str]:
-    """Names that the report's renames lead to or from a target field, over several steps. The distinct pairs of field names come to the driver: as many as
+def _flat(obj: dict, whole: tuple[str, ...] = (), opened: bool = True) -> str:
+    """An object as JSON with its inner objects opened, as _open does. Empty inner objects stay, a name that comes twice gets a number."""
+    out: dict[str, object] = {}
+    todo = [("", obj)]
+    while todo:
+        p, o = todo.pop()
+        for k, v in o.items():
+            name = p + k
+            if opened and isinstance(v, dict) and v and name not in whole:
+                todo.append((name + ".", v))
+            elif v is not None:
+                n = 1
+                while (key := name if n == 1 else f"{name}#{n}") in out:
+                    n += 1
+                out[key] = v
+    return json.dumps(out)
+
+
+def manifest_texts(value: object) -> Iterator[tuple[str, str, str]]:
+    """(kind, record key, JSON) of the records of one manifest: those of manifest_records."""
+    top = value if isinstance(value, dict) else {}
+    if isinstance(top.get("metadata"), dict):
+        yield "metadata", "m", _flat(top["metadata"], opened=False)
+    for sec in ("nodes", "sources"):
+        part = top.get(sec)
+        for key, node in part.items() if isinstance(part, dict) else ():
+            if not isinstance(node, dict):
+                continue
+            yield "node", f"n/{sec}/{key}", _flat(node, ("columns",))
+            cols = node.get("columns")
+            for ck, col in cols.items() if isinstance(cols, dict) else enumerate(cols) if isinstance(cols, list) else ():
+                if isinstance(col, dict):
+                    ident = col.get("name") if isinstance(col.get("name"), str) else ck
+                    yield "column", f"c/{sec}/{key}/{ident}", _flat(col, opened=False)
+
+
+def _text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cols = ["origin", "group_key", "step_no", "generated_at", "rec_kind", "rec_key", "record"]
+    for pdf in batches:
+        out = []
+        for fid, group, at, payload in zip(pdf["file_id"], pdf["project_name"], pdf["generated_at"], pdf["payload"], strict=True):
+            ok, value = load(payload)
+            if ok:
+                fid = None if fid is None else int(fid)
+                out += [("manifest_files", group, fid, at, *r) for r in manifest_texts(value)]
+            if len(out) > 5_000:
+                yield pd.DataFrame(out, columns=cols)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=cols)
+
+
+def manifest_table(files: DataFrame, report: DataFrame) -> DataFrame:
+    """All records of readable manifests with the typed columns of their kind and `_rescued`; renamed fields are promoted as the report says."""
+    slim = files.select(F.col("file_id").cast("string").alias("file_id"), F.coalesce("project_name", F.lit("")).alias("project_name"), "generated_at", "payload")
+    records = stage(slim.mapInPandas(_text_rows, RECORDS))
+    out: DataFrame | None = None
+    for kind, target in MANIFEST_TARGETS.items():
+        own = report.filter((F.col("origin") == "manifest_files") & F.col("old_field").startswith(f"{kind}.") & F.col("new_field").startswith(f"{kind}."))
+        own = own.select("change_kind", *[F.substring(c, len(kind) + 2, 1 << 30).alias(c) for c in ("old_field", "new_field")])
+        part = ingest(records.filter(F.col("rec_kind") == kind), "record", target, approved_names(own, target, INNER.get(kind))).drop("record")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def approved_names(report: DataFrame, target: dict[str, str], known: dict[str, str] | None = None) -> dict[str, str]:
+    """Names that the report's renames lead to or from a target field, over several steps; known: names that are approved anyway. The distinct pairs of field names come to the driver: as many as
     the schema has renames, however many records there are."""
     pairs = [tuple(r) for r in report.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]
-    found: dict[str, str] = {}
+    found: dict[str, str] = dict(known or {})
     grew = True
     while grew:
         grew = False
@@ -238,8 +318,10 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, base: str) -> DataFrame:
-    """All valid Dataset rows of all versions in one consistent table; renamed properties are promoted as the report of changes says."""
-    nodes = tables.read(spark, base, "nodes")
-    report = changes(stage(dataset_leaves(nodes)))
+    """All valid Dataset rows of all versions and all records of all readable manifests in one consistent table, rec_kind tells which; renamed fields are
+    promoted as the report of changes says. A column that the kind does not have is null."""
+    report = stage(changes(_leaves(spark, base)).filter("change_kind = 'renamed'"))
     valid = tables.nodes(spark, base).filter("type = 'Dataset'").select("_version", "id", "name", "properties")
-    return ingest(valid, "properties", TARGET, approved_names(report, TARGET)).drop("properties")
+    sets = ingest(valid, "properties", TARGET, approved_names(report.filter("origin = 'nodes'"), TARGET)).drop("properties")
+    sets = sets.select(F.lit("nodes").alias("origin"), F.col("database").alias("group_key"), F.col("_version").cast("long").alias("step_no"), F.lit("dataset").alias("rec_kind"), F.col("id").alias("rec_key"), "*")
+    return sets.unionByName(manifest_table(tables.read(spark, base, "manifest_files"), report), allowMissingColumns=True)

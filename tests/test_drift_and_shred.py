@@ -54,6 +54,19 @@ def test_rescue_columns(spark):
     assert got == {1: (12, None, {"pii": "maybe", "x": {"y": 1}}), 2: (7, True, None), 3: (None, None, {"_text": "no json"}), 4: (None, None, None), 5: (None, None, {"_text": "[1]"}), 6: (None, None, None)}
 
 
+def test_manifest_records_in_the_consistent_table(spark):
+    a = {"m": {"name": "m", "schema": "s", "meta": {"owner": "x", "tier": 1}, "columns": {"id": {"name": "id", "index": 1, "description": "d"}}, "odd": {"deep": [1]}, "none": {}}}
+    b = {"m": {"name": "m", "schema_name": "s", "owner": "x", "meta": {"tier": "high"}, "columns": [{"name": "id", "index": 1, "doc": "d"}, 3]}}
+    docs = files(spark, [("p", manifest(a, dbt_version="1")), ("p", "{broken"), ("p", manifest(b, dbt_version="2", extra=1))])
+    got = {(r.step_no, r.rec_key): r for r in drift.manifest_table(docs, drift.changes(drift.manifest_leaves(docs))).collect()}
+    assert set(got) == {(i, k) for i in (0, 2) for k in ("m", "n/nodes/m", "c/nodes/m/id")}
+    rescued = {k: json.loads(r._rescued) for k, r in got.items() if r._rescued}
+    assert rescued == {(0, "n/nodes/m"): {"odd.deep": [1], "none": {}}, (2, "n/nodes/m"): {"meta.tier": "high"}, (2, "m"): {"extra": 1}}
+    assert [(got[i, "n/nodes/m"].schema, got[i, "n/nodes/m"].owner, got[i, "n/nodes/m"].tier) for i in (0, 2)] == [("s", "x", 1), ("s", "x", None)]
+    assert [got[i, "c/nodes/m/id"].description for i in (0, 2)] == ["d", "d"] and [got[i, "m"].dbt_version for i in (0, 2)] == ["1", "2"]
+    assert json.loads(got[2, "n/nodes/m"].columns) == b["m"]["columns"]
+
+
 def test_order_over_partitions(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("g"), "id")
     assert all(r.p == (r.id - 3 if r.id >= 3 else None) for r in previous(df, ["g"], ["id"], F.col("id"), "p").collect())
