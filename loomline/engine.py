@@ -8,7 +8,7 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.functions.embed import embed, node_text, token_sums, unit
+from loomline.functions.embed import base_properties, embed, node_text, token_sums, unit
 from loomline.functions.text import intent
 from loomline.model import Graph
 from loomline.operators import diff, prompts, search, traversal
@@ -39,9 +39,13 @@ class Diff:
 
 
 def node_vectors(nodes: DataFrame) -> DataFrame:
-    """id, name, type, vector: token-hash embeddings of the nodes' texts."""
-    text = node_text(F.col("type"), F.col("name"), F.col("description"))
-    return nodes.select("id", "name", "type", token_sums(text).alias("_s")).select("id", "name", "type", unit(F.col("_s")).alias("vector"))
+    """id, name, type, vector: token-hash embeddings of the nodes' texts. A node that has an embedding already keeps it."""
+    text = node_text(F.col("type"), F.col("name"), F.col("description"), base_properties(F.col("type"), F.col("properties")))
+    if "embedding" not in nodes.columns:
+        return nodes.select("id", "name", "type", token_sums(text).alias("_s")).select("id", "name", "type", unit(F.col("_s")).alias("vector"))
+    known = F.when(F.size("embedding") > 0, F.col("embedding").cast("array<double>"))
+    both = nodes.select("id", "name", "type", known.alias("_known"), token_sums(F.when(known.isNull(), text)).alias("_s"))
+    return both.select("id", "name", "type", F.coalesce("_known", unit(F.col("_s"))).alias("vector"))
 
 
 class LineageEngine:

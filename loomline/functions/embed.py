@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,11 +16,43 @@ from pyspark.sql import functions as F
 CORE = 32
 
 
+#: Members of properties that are attributes of the node's type; the others are its base properties.
+OWN = {
+    "Dataset": {"database", "schema", "schema_name", "table_type", "owner"},
+    "Column": {"dataset_id", "data_type", "is_nullable", "ordinal_position"},
+    "Pipeline": {"resource_type", "owner"},
+    "User": {"email"},
+    "Team": {"email"},
+    "BusinessTerm": {"definition", "domain"},
+}
+
+
+def _base(type_: str | None, text: str | None) -> dict[str, str]:
+    try:
+        value = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return {}
+    own = OWN.get(type_, set())
+    return {k: str(v) for k, v in value.items() if v and k not in own} if isinstance(value, dict) else {}
+
+
+def base_properties(type_: Column, properties: Column) -> Column:
+    """The base properties of a node that are neither empty nor zero nor false, as a map of texts in their order. Python, because lists, numbers and inner
+    objects are spelt as Python spells them; text that is no JSON object gives an empty map."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for t, p in batches:
+            yield pd.Series([_base(a, b) for a, b in zip(t, p, strict=True)], dtype="object")
+
+    return run(type_, properties)
+
+
 def node_text(type_: Column, name: Column, description: Column, properties: Column | None = None) -> Column:
-    """Type, name, description and properties as one text; empty parts are left out. properties: a map of texts."""
+    """Type, name, description and properties as one text; empty parts are left out. properties: a map of texts, of base_properties."""
     parts = [F.concat(F.lit("Type: "), type_), F.concat(F.lit("Name: "), name), F.when(description != "", F.concat(F.lit("Description: "), description))]
     if properties is not None:
-        kept = F.filter(F.map_entries(properties), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "false", "0", "null"))
+        kept = F.filter(F.map_entries(properties), lambda e: e["value"].isNotNull())
         parts.append(F.when(F.size(kept) > 0, F.concat(F.lit("Properties: "), F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "))))
     return F.concat_ws(" | ", *parts)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.engine import node_vectors
 from loomline.functions import text as X
-from loomline.functions.embed import CORE, dot, embed, node_text, token_sums, unit
+from loomline.functions.embed import CORE, base_properties, dot, embed, node_text, token_sums, unit
 from loomline.model import Graph
 from loomline.operators import builder, diff, prompts, search, traversal, views
 from loomline.session import stage
@@ -167,7 +167,8 @@ def vector_within(spark, base):
 
 def token_embedding(spark, base):
     n = tables.nodes(spark, base, newest(spark, base))
-    v = n.select("id", token_sums(node_text(F.col("type"), F.col("name"), F.col("description"))).alias("v"))
+    text = node_text(F.col("type"), F.col("name"), F.col("description"), base_properties(F.col("type"), F.col("properties")))
+    v = n.select("id", token_sums(text).alias("v"))
     return v.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 

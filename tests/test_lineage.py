@@ -154,6 +154,16 @@ def test_token_hash():
     assert abs(sums("a", {})[0] - (0xCA / 255 * 2 - 1)) < 1e-12
 
 
+def test_embeddings_know_the_base_properties(spark):
+    props = json.dumps({"schema": "s", "tags": ["gold", "pii"], "cost_center": "c 7", "pii": True, "row_count": 0, "note": None, "code": "0"})
+    n = spark.createDataFrame([("a", "Dataset", "a", "", props, None), ("b", "Dataset", "b", "d", "{broken", []), ("c", "User", "c", "", "{}", [0.6, 0.8])], f"{NODE}, embedding array<float>")
+    got = {r.id: r.vector for r in node_vectors(n).collect()}
+    for i, text in (("a", "Type: Dataset | Name: a | Properties: tags=['gold', 'pii'], cost_center=c 7, pii=True, code=0"), ("b", "Type: Dataset | Name: b | Description: d")):
+        assert got[i] == pytest.approx(embed(text))
+    assert got["c"] == pytest.approx([0.6, 0.8])
+    assert {r.id: r.vector for r in node_vectors(n.drop("embedding")).collect()}["a"] == pytest.approx(got["a"])
+
+
 def test_scalar_functions(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v")).alias("r")).first().r
     assert one(X.iso_to_epoch_ms, "1970-01-01T00:00:01Z") == 1999 and one(X.iso_to_epoch_ms, "1970-01-01T00:00:01.5Z") == 1500 and one(X.iso_to_epoch_ms, "1970-01-02") == 86_400_000
