@@ -30,7 +30,8 @@ LATEX_SYMBOLS = [
 ]
 LATEX_ARROWS = "→←⇒⇐↔⇔⟶⟵⟹↦"
 
-SPACES = r"(?U)\s+"
+#: White space as Python knows it.
+SPACES = r"(?U)[\s\x1C-\x1F]+"
 
 
 def iso_to_epoch_ms(text: Column) -> Column:
@@ -46,7 +47,7 @@ def epoch_ms_to_iso(ms: Column) -> Column:
 
 def search_terms(text: Column) -> Column:
     """The phrase without stop words, its words, and the raw text, each once, of two characters or more. Null gives null."""
-    raw = F.trim(F.lower(text))
+    raw = F.regexp_replace(F.lower(text), rf"^{SPACES}|{SPACES}$", "")
     words = F.filter(F.split(raw, SPACES), lambda w: (w != "") & ~w.isin(STOP_WORDS))
     phrase = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.array_distinct(F.concat(phrase, words, F.array(raw))), lambda t: F.length(t) >= 2)

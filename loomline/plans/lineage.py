@@ -144,8 +144,7 @@ def nodes_by_ids(spark, base):
 
 def node_terms(spark, base):
     n = tables.nodes(spark, base, newest(spark, base))
-    text = F.concat_ws(" ", "name", F.regexp_replace("description", r"[^\x00-\x7F]", "?"))
-    return n.select("id", F.array_join(X.search_terms(text), "|").alias("terms"))
+    return n.select("id", F.array_join(X.search_terms(F.concat_ws(" ", "name", "description")), "|").alias("terms"))
 
 
 def term_search(spark, base):

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from loomline.functions import text as X
 from loomline.functions.embed import embed, sums, tokens
 from loomline.model import Graph, depth_in_range
 from loomline.operators import builder, diff, search, traversal, views
+from loomline.plans import lineage
 from loomline.sources import infoschema, manifests, querylogs, runs
 from loomline.sources.store import Store, timeline, versions_at
 
@@ -164,6 +166,21 @@ def test_embeddings_know_the_base_properties(spark):
     assert {r.id: r.vector for r in node_vectors(n.drop("embedding")).collect()}["a"] == pytest.approx(got["a"])
 
 
+def plain_terms(text):
+    raw = text.strip().lower()
+    words = [w for w in re.split(r"\s+", raw) if w and w not in X.STOP_WORDS]
+    return "|".join(t for t in dict.fromkeys([*([" ".join(words)] if words else []), *words, raw]) if len(t) >= 2)
+
+
+def test_search_terms_of_whole_texts(spark, tmp_path):
+    texts = ["Größe der Übersicht", "Ключ ЗАКАЗА", "ΟΔΟΣ ΟΔΟΣ", "注文 一覧\u3000表", "\u00a0café\u2003Café\x1fthé \n", "", None, "the  table", "данные таблица"]
+    rows = [(1, i, f"n{i}", "Dataset", "Änderung" if i % 2 else "orders", t, "{}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "_version long, _seq long, id string, type string, name string, description string, properties string").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(1,)], "version long").write.parquet(f"{tmp_path}/commits.parquet")
+    got = {r.id: r.terms for r in lineage.QUERIES["search_terms"](spark, str(tmp_path)).collect()}
+    assert got == {r[2]: plain_terms(" ".join(x for x in r[4:6] if x is not None)) for r in rows}
+
+
 def test_scalar_functions(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v")).alias("r")).first().r
     assert one(X.iso_to_epoch_ms, "1970-01-01T00:00:01Z") == 1999 and one(X.iso_to_epoch_ms, "1970-01-01T00:00:01.5Z") == 1500 and one(X.iso_to_epoch_ms, "1970-01-02") == 86_400_000
