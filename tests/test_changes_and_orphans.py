@@ -111,3 +111,13 @@ def test_whole_tables(spark, name):
     from .conftest import DATA
 
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_any_sequence_and_first_version_zero(spark):
+    rows = [(0, 1025 << 33, "a", "b", "T", '{"k":1}'), (1, 1 << 60, "a", "b", "T", '{"k":2}'), (1, 1 << 59, "a", "b", "T", '{"k":1}'), (1, None, "x", "b", "T", "{}"), (7, 1, "x", "b", "T", "{}")]
+    df = spark.createDataFrame(rows, EDGES)
+    kinds = lambda out: {(r.source_id, r._version, r.change_kind) for r in out.collect()}
+    first = {("a", 1, "changed"), ("x", 1, "added")}
+    assert kinds(snapshot_changes.edge_changes(df)) == first | {("a", 7, "removed")}
+    assert kinds(snapshot_changes.edge_changes(df, versions=[0, 1, 5, 7])) == first | {("a", 5, "removed"), ("x", 5, "removed"), ("x", 7, "added")}
+    assert kinds(snapshot_changes.edge_changes(df, versions=[0, 1])) == first
