@@ -16,7 +16,11 @@ def chunked(docs: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id (as text, since pandas has no null integers), text and chunk: documents by a hash of their whole row, so that a repeated doc_id or a hot source does not make a large chunk. Null and
     empty texts have no place here and are left out; so an empty table has no chunks."""
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null and text <> ''")
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return in_chunks(docs, docs.agg(F.sum(F.length("text"))).first()[0] or 0, chars)
+
+
+def in_chunks(docs: DataFrame, total: int, chars: int = CHUNK_CHARS) -> DataFrame:
+    """docs with their chunk, where the number of all characters is known."""
     n = max(1, -(-total // chars))
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
