@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Length of a digest. Longer vectors repeat it, so cosines over these dimensions equal those over any multiple.
@@ -57,16 +57,16 @@ def node_text(type_: Column, name: Column, description: Column, properties: Colu
     return F.concat_ws(" | ", *parts)
 
 
+_PIECE = re.compile(r"[a-z0-9]+", re.IGNORECASE | re.ASCII)
+
+
 def tokens(text: str) -> list[str]:
     """All alphanumeric pieces, with repetitions; then each piece between white space that is not among them yet; else the whole text."""
-    low = text.lower()
-    out = [t.lower() for t in re.split(r"[^a-zA-Z0-9]+", text) if t]
-    seen = set(out)
-    for t in low.split():
-        if t not in seen:
-            seen.add(t)
-            out.append(t)
-    return out or [low]
+    pieces = list(map(str.lower, _PIECE.findall(text)))
+    spaced = dict.fromkeys(text.lower().split())
+    for known in pieces:
+        spaced.pop(known, None)
+    return [*pieces, *spaced] or [text.lower()]
 
 
 def sums(text: str, known: dict[str, np.ndarray]) -> np.ndarray:
@@ -103,8 +103,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def embed(text: str) -> list[float]:
+def vectors_of(nodes: DataFrame) -> DataFrame:
+    """id, name, type and vector (CORE values): token-hash embeddings of the nodes' texts."""
+    text = node_text(F.col("type"), F.col("name"), F.col("description"), base_properties(F.col("type"), F.col("properties")))
+    return nodes.select("id", "name", "type", token_sums(text).alias("_s")).select("id", "name", "type", unit(F.col("_s")).alias("vector"))
+
+
+def spread(v: Column, dim: int) -> Column:
+    """A core vector at another length: its values repeated and cut, over the new length."""
+    times = -(-dim // CORE)
+    return unit(F.slice(F.flatten(F.array_repeat(v, times)), 1, dim))
+
+
+def embed(text: str, dim: int = CORE) -> list[float]:
     """The unit vector of a query text, on the driver."""
-    v = sums(text, {})
+    v = np.resize(sums(text, {}), dim)
     n = float(np.linalg.norm(v))
     return (v / n if n else v).tolist()

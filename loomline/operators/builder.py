@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,17 +83,19 @@ def synthesised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.select("id", kind.alias("type"), last_segment(F.col("id")).alias("name"), F.concat(label, "id", F.lit(")")).alias("description"))
 
 
-def build(nodes: DataFrame, edges: DataFrame) -> Graph:
+def build(nodes: DataFrame, edges: DataFrame, fold: Callable[[DataFrame], Column] | None = None) -> Graph:
     """The graph of extracted records in their order (_seq over both): aliases resolved, repeated nodes and edges merged, missing ends added.
 
     nodes: id, type, name, description, database, schema, dataset_id, properties (map), _seq. edges: source_id, target_id, type, properties (map), _seq.
-    An alias counts for the edges after it. Ends made up for missing ids take part under their own id, not under further names.
+    fold: makes the properties text of the merged nodes, whose first row's other columns it may use. An alias counts for the edges after it. Ends made up for missing ids take part under their own id, not under further names.
     """
     known = stage(aliases(nodes))
     for side in ("source_id", "target_id"):
         edges = resolve(edges.withColumnRenamed(side, "raw_id").withColumnRenamed("_seq", "seq"), known).withColumnRenamed("canonical", side).drop("raw_id").withColumnRenamed("seq", "_seq")
     merged = stage(merge(edges.select("source_id", "target_id", "type", "properties", "_seq"), ["source_id", "target_id", "type"]))
-    n = stage(merge(nodes.select("id", "type", "name", "description", "properties", "_seq"), ["id"]))
-    full = n.select("id", "type", "name", "description", F.to_json("properties").alias("properties"))
+    n = stage(merge(nodes if fold else nodes.select("id", "type", "name", "description", "properties", "_seq"), ["id"]))
+    full = n.select("id", "type", "name", "description", (fold(n) if fold else F.to_json("properties")).alias("properties"))
     extra = synthesised(merged, n).withColumn("properties", F.lit("{}"))
-    return Graph(full.unionByName(extra), merged.select("source_id", "target_id", "type", F.to_json("properties").alias("properties")))
+    texts = F.transform(F.map_entries("properties"), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"]))
+    props = F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}")) if fold else F.to_json("properties")
+    return Graph(full.unionByName(extra), merged.select("source_id", "target_id", "type", props.alias("properties")))

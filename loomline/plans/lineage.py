@@ -11,7 +11,7 @@ from loomline.engine import node_vectors
 from loomline.functions import text as X
 from loomline.functions.embed import CORE, base_properties, dot, embed, node_text, token_sums, unit
 from loomline.model import Graph
-from loomline.operators import builder, diff, prompts, search, traversal, views
+from loomline.operators import builder, diff, ingestion, prompts, search, traversal, views
 from loomline.session import stage
 from loomline.sources import infoschema, manifests, querylogs, runs, store, tables
 
@@ -30,6 +30,13 @@ def graph(spark: SparkSession, base: str, version: int | None = None, whole: boo
     return traversal.complete(Graph(nodes, edges)) if whole else Graph(nodes, edges)
 
 
+def steps_graph(spark: SparkSession, base: str) -> Graph:
+    """The newest version for questions that need no properties of edges: which row of an edge is valid then does not matter."""
+    v = newest(spark, base)
+    nodes = tables.with_reference(tables.nodes(spark, base, v), tables.read(spark, base, "reference_nodes"))
+    return traversal.complete(Graph(nodes, tables.edge_keys(spark, base, v).drop("_version")))
+
+
 def staged(spark: SparkSession, base: str, version: int | None = None) -> Graph:
     """For queries that read the graph many times."""
     g = graph(spark, base, version)
@@ -56,7 +63,7 @@ def _end(g: Graph) -> DataFrame:
 
 
 def _levels(spark, base, upstream=False, column=False, edges=False, depth=5):
-    g = staged(spark, base)
+    g = steps_graph(spark, base)
     start = _end(g) if upstream else _start(g, column)
     lv = traversal.walk(g, start, depth, upstream)
     if edges:
@@ -72,7 +79,7 @@ def multi_source(spark, base):
 
 
 def depth_by_type(spark, base):
-    g = staged(spark, base)
+    g = steps_graph(spark, base)
     lv = traversal.walk(g, _start(g), 5)
     return g.nodes.join(lv, "id").groupBy("type", "level").agg(F.count("*").alias("n"))
 
@@ -186,7 +193,7 @@ def scope_match(spark, base):
 
 
 def scoped_neighbourhood(spark, base):
-    return traversal.scoped_ids(staged(spark, base), SCOPE)
+    return traversal.scoped_ids(steps_graph(spark, base), SCOPE)
 
 
 def visible_nodes(spark, base):
@@ -277,13 +284,13 @@ def _props(col="properties"):
 
 def node_merge(spark, base):
     """All rows of all versions merged as ingestion does: first fields, first filled description, united properties."""
-    n = tables.read(spark, base, "nodes").filter("id is not null").withColumn("_order", F.col("_version") * F.lit(1 << 40) + F.col("_seq"))
+    n = tables.read(spark, base, "nodes").filter("id is not null").withColumn("_order", F.struct("_version", "_seq"))
     m = builder.merge(n.select("id", "type", "name", "description", _props().alias("properties"), F.col("_order").alias("_seq")), ["id"])
     return m.select("id", "type", "name", "description", F.array_join(F.map_keys("properties"), ",").alias("property_names"))
 
 
 def edge_merge(spark, base):
-    e = tables.read(spark, base, "edges").filter(tables.filled("source_id", "target_id")).withColumn("_order", F.col("_version") * F.lit(1 << 40) + F.col("_seq"))
+    e = tables.read(spark, base, "edges").filter(tables.filled("source_id", "target_id")).withColumn("_order", F.struct("_version", "_seq"))
     m = builder.merge(e.select("source_id", "target_id", "type", _props().alias("properties"), F.col("_order").alias("_seq")), ["source_id", "target_id", "type"])
     return m.select("source_id", "target_id", "type", F.array_join(F.map_keys("properties"), ",").alias("property_names"))
 
@@ -326,22 +333,23 @@ def run_lineage(spark, base):
     return runs.run_edges(r).groupBy("source_id", "target_id", "type").agg(F.count("*").alias("n"))
 
 
+def _ingested(spark, base) -> Graph:
+    """The graph of all sources: the manifests with their columns, the listing with its columns, the query log, the run records."""
+    read = partial(tables.read, spark, base)
+    return ingestion.graph_of(ingestion.of_manifests(read("manifest_files")), ingestion.of_listing(read("info_tables"), read("info_columns")), ingestion.of_logs(_log(spark, base)), ingestion.of_runs(read("run_files")))
+
+
+def ingested_nodes(spark, base):
+    return _ingested(spark, base).nodes
+
+
+def ingested_edges(spark, base):
+    return _ingested(spark, base).edges
+
+
 def ingested_graph(spark, base):
-    """The graph that the manifests, listings and run records give together, in this order: nodes by type and edges by type."""
-    f = tables.read(spark, base, "manifest_files")
-    none = F.lit(None).cast("string")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    ds = manifests.datasets(f, keep=["file_id"])
-    n1 = ds.select("id", F.lit("Dataset").alias("type"), "name", "description", "database", "schema", none.alias("dataset_id"), F.create_map(F.lit("owner"), F.to_json(F.struct("owner"))).alias("properties"), F.col("file_id").alias("_o"))
-    t = infoschema.listed_tables(tables.read(spark, base, "info_tables"), keep=["rec_id"])
-    n2 = t.select("id", F.lit("Dataset").alias("type"), "name", F.lit("").alias("description"), "database", "schema", none.alias("dataset_id"), empty.alias("properties"), (F.col("rec_id") + (1 << 40)).alias("_o"))
-    r = runs.records(tables.read(spark, base, "run_files"), keep=["file_id"])
-    n3 = r.filter("pipeline_id <> ''").select(F.col("pipeline_id").alias("id"), F.lit("Pipeline").alias("type"), X.last_segment(F.col("pipeline_id")).alias("name"), F.lit("").alias("description"), none.alias("database"), none.alias("schema"), none.alias("dataset_id"), empty.alias("properties"), (F.col("file_id") + (1 << 41)).alias("_o"))
-    nodes = n1.unionByName(n2).unionByName(n3).withColumn("_seq", F.col("_o") * 1000 + F.pmod(F.xxhash64("id"), F.lit(1000))).drop("_o").filter("id <> ''")
-    e1 = manifests.derivations(ds, keep=["file_id"]).select("source_id", "target_id", "type", F.col("file_id").alias("_o"))
-    e3 = runs.run_edges(r).withColumn("_o", F.lit(1 << 42))
-    edges = e1.unionByName(e3).groupBy("source_id", "target_id", "type").agg((F.max("_o") * 1000 + 999).alias("_seq")).withColumn("properties", empty)
-    g = builder.build(nodes, edges)
+    """Nodes by type and edges by type of the graph of all sources."""
+    g = _ingested(spark, base)
     return g.nodes.groupBy(F.lit("node").alias("kind"), "type").agg(F.count("*").alias("n")).unionByName(g.edges.groupBy(F.lit("edge").alias("kind"), "type").agg(F.count("*").alias("n")))
 
 
@@ -419,6 +427,8 @@ QUERIES = {
     "ingest_openlineage": ingest_runs,
     "ingest_openlineage_edges": run_lineage,
     "ingested_graph": ingested_graph,
+    "ingested_nodes": ingested_nodes,
+    "ingested_edges": ingested_edges,
     "prompt_blast_radius": prompt_blast_radius,
     "prompt_diff": prompt_diff,
 }

@@ -1,17 +1,22 @@
 """Versioned graph tables in Parquet under one commit log, so that nodes, edges and vectors of a commit are visible together or not at all.
 
-base/_commits/<version>.json lists, per table, the folders that make up the version; base/<table>/v=<version>/ holds the rows. A commit's log entry is
-written last, by creating the file, which fails if another writer took the version. An overwrite starts from new folders only; an append adds its folder
-to those of the version before.
+base/_commits/<version>.json lists, per table, the folders that make up the version; base/<table>/<attempt>/_version=<version>/ holds the rows of one attempt to
+commit, so two writers never write to one place. A commit's log entry is written last, by creating the file, which fails if another writer took the version; on
+object stores that needs a file system whose create without overwrite is a conditional put. An overwrite starts from new folders only; an append adds its folder
+to those of the version before, until compact() makes them one.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions.text import epoch_ms_to_iso, iso_to_epoch_ms
 from loomline.model import COMMITS, EDGES, NODES, VECTORS, Graph
@@ -47,28 +52,42 @@ class Store:
         df = self.spark.createDataFrame(log, "version long, ms long, operation string")
         return df.select("version", F.timestamp_millis("ms").alias("ts"), "operation").to(COMMITS)
 
-    def write(self, mode: str = "overwrite", ts_ms: int | None = None, **tables: DataFrame) -> int:
-        """Commits nodes, edges and vectors (each optional) and returns the version. A failed write leaves no commit and raises."""
+    def write(self, mode: str = "overwrite", ts_ms: int | None = None, batch: str | None = None, **tables: DataFrame) -> int:
+        """Commits nodes, edges and vectors (each optional) and returns the version. A failed write leaves no commit and raises. batch: a name under which this
+        is committed once only; if the log has it, its version is returned and nothing is written."""
         if mode not in ("overwrite", "append"):
             raise ValueError("mode is overwrite or append")
         log = self.log()
+        if batch is not None and (before := [c["version"] for c in log if c.get("batch") == batch]):
+            return before[0]
+        attempt = uuid.uuid4().hex
         version = log[-1]["version"] + 1 if log else 0
         held = {t: list(log[-1]["tables"].get(t, [])) if log and mode == "append" else [] for t in TABLES}
         for name, df in tables.items():
             if df is None:
                 continue
             schema, _ = TABLES[name]
-            rows = df.select(*schema.fieldNames())
+            rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
             if name == "nodes":
                 rows = rows.withColumn("description", F.coalesce("description", F.lit(""))).withColumn("properties", F.coalesce("properties", F.lit("{}")))
             elif name == "edges":
                 rows = rows.withColumn("properties", F.coalesce("properties", F.lit("{}")))
             else:
                 rows = rows.filter("vector is not null")
-            out = f"{name}/v={version}"
+            out = f"{name}/{attempt}/_version={version}"
             rows.withColumn("_seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.base}/{out}")
             held[name].append(out)
         entry = {"version": version, "ts_ms": ts_ms if ts_ms is not None else time.time_ns() // 1_000_000, "operation": mode, "tables": held}
+        if batch is not None:
+            entry["batch"] = batch
+        return self._commit(entry)
+
+    def compact(self, ts_ms: int | None = None) -> int:
+        """Commits the newest version again with one folder per table, without the rows that later ones replaced; the versions before stay readable."""
+        return self.write("overwrite", ts_ms, **{name: self.table(name) for name in TABLES})
+
+    def _commit(self, entry: dict) -> int:
+        version = entry["version"]
         stream = None
         path = self._path(f"_commits/{version:012d}.json")
         try:
@@ -82,7 +101,9 @@ class Store:
     def resolve(self, as_of: str | int | None) -> int | None:
         """The version that as_of names: the newest for None, a number for digits, else the newest commit up to that time plus the tolerance; None before
         the first. Text that is neither raises."""
-        log = self.log()
+        return self._resolve(as_of, self.log())
+
+    def _resolve(self, as_of: str | int | None, log: list[dict]) -> int | None:
         if not log:
             return None
         if as_of is None or as_of == "":
@@ -100,14 +121,15 @@ class Store:
     def table(self, name: str, as_of: str | int | None = None) -> DataFrame:
         """The rows of a table at a version, the last of each key; before the first commit none."""
         schema, keys = TABLES[name]
-        version = self.resolve(as_of)
-        dirs = next((c["tables"].get(name, []) for c in self.log() if c["version"] == version), [])
+        log = self.log()
+        version = self._resolve(as_of, log)
+        dirs = next((c["tables"].get(name, []) for c in log if c["version"] == version), [])
         if not dirs:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.parquet(f"{self.base}/{d}").withColumn("_version", F.lit(int(d.rpartition("=")[2])).cast("long")) for d in dirs]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        # one scan over all folders; the version of a row is its folder's
+        stored = T.StructType([*schema.fields, T.StructField("_seq", T.LongType())])
+        rows = self.spark.read.schema(stored).parquet(*[f"{self.base}/{d}" for d in dirs])
+        rows = rows.withColumn("_version", F.regexp_extract(F.col("_metadata.file_path"), r"/_version=(\d+)/", 1).cast("long"))
         return last_wins(rows, keys, ["_version", "_seq"]).select(*schema.fieldNames())
 
     def graph(self, as_of: str | int | None = None) -> Graph:
@@ -126,12 +148,16 @@ def timeline(commits: DataFrame) -> DataFrame:
 def versions_at(times: DataFrame, commits: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """times with `version`: the newest commit up to each row's ts plus the tolerance, null before the first.
 
-    The commit log becomes intervals of validity, which a row's time falls into at most once. The log is one row per commit and is collected to one sorted
-    array that travels as a constant, so the rows are neither shuffled nor joined.
+    The log has one row per commit; it is sorted once and goes to the workers as an array, in which each row's time is found by bisection. The rows are neither
+    shuffled nor joined.
     """
-    log = [(r[0], r[1]) for r in commits.select("version", F.unix_micros("ts")).orderBy("ts", "version").collect()]
-    if not log:
-        return times.withColumn("version", F.lit(None).cast("long"))
-    arr = F.array(*[F.struct(F.lit(us).alias("us"), F.lit(v).cast("long").alias("version")) for v, us in log])
-    at = F.unix_micros("ts") + tolerance_ms * 1000
-    return times.withColumn("version", F.try_element_at(F.filter(arr, lambda c: c["us"] <= at), F.lit(-1))["version"])
+    log = commits.select(F.unix_micros("ts"), "version").filter("ts is not null").orderBy("ts", "version").collect()
+    at = np.array([r[0] for r in log], dtype=np.int64)
+    versions = pd.array([None, *[r[1] for r in log]], dtype="Int64")
+
+    @F.pandas_udf("long")
+    def found(us: pd.Series) -> pd.Series:
+        place = np.searchsorted(at, us.fillna(-(1 << 62)).to_numpy(np.int64) + tolerance_ms * 1000, side="right")
+        return pd.Series(versions.take(place))
+
+    return times.withColumn("version", found(F.unix_micros("ts")))
