@@ -122,64 +122,87 @@ def step_order(leaves: DataFrame) -> DataFrame:
     return files.select(*cols).unionByName(versions.select(*cols))
 
 
-def rescue(leaves: DataFrame, steps: DataFrame) -> DataFrame:
-    """Enforces on each step the schema of the step before it, per field: origin, group_key, step_no, prev_no, field, verdict.
+ON = ["origin", "group_key", "step_no"]
 
-    'typed': known, of a known kind. 'unknown' and 'uncastable': the values go to the rescue column. 'unfilled': a target column that no record fills.
-    The schemas are aggregated before the comparison, so the work follows the number of fields, and a group with a third of the records costs one row per
-    field and task.
-    """
-    on = ["origin", "group_key", "step_no"]
-    schema = leaves.select(*on, F.explode("fields").alias("f")).groupBy(*on, F.col("f.field").alias("field")).agg(F.bit_or("f.kind").alias("kinds"))
-    schema = stage(schema)
-    steps = steps.filter("prev_no is not null")
-    now = schema.join(steps, on).select(*on, "prev_no", "field", F.col("kinds").alias("now"), F.lit(0).cast("long").alias("was"))
-    old = schema.withColumnRenamed("step_no", "prev_no").join(steps, ["origin", "group_key", "prev_no"])
-    old = old.select(*on, "prev_no", "field", F.lit(0).cast("long").alias("now"), F.col("kinds").alias("was"))
-    both = now.unionByName(old).groupBy(*on, "prev_no", "field").agg(F.max("now").alias("now"), F.max("was").alias("was"))
-    verdict = F.when(F.col("was") == 0, "unknown").when(F.col("now") == 0, "unfilled").when(F.col("now") != F.col("was"), "uncastable").otherwise("typed")
-    return both.select(*on, "prev_no", "field", verdict.alias("verdict"))
-
-
-def replay(leaves: DataFrame, verdicts: DataFrame, share: float = RENAME_SHARE) -> DataFrame:
+
+def schemas(leaves: DataFrame) -> DataFrame:
+    """origin, group_key, step_no, field, kinds: the fields of each step with the kinds of their values. Aggregated before any comparison, so a group with a third of
+    the records costs one row per field and task."""
+    return leaves.select(*ON, F.explode("fields").alias("f")).groupBy(*ON, F.col("f.field").alias("field")).agg(F.bit_or("f.kind").alias("kinds"))
+
+
+def targets(schema: DataFrame, steps: DataFrame) -> DataFrame:
+    """The target schema of each step that has a step before it, which is that step's schema: target, a map of kinds by field."""
+    known = schema.withColumnRenamed("step_no", "prev_no").groupBy("origin", "group_key", "prev_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "kinds"))).alias("target"))  # fields of one step
+    return steps.filter("prev_no is not null").join(known, ["origin", "group_key", "prev_no"])
+
+
+def enforce(leaves: DataFrame, target: DataFrame) -> DataFrame:
+    """Rescue-column ingestion: each record of a step with its target schema enforced. `fields` keeps what the target knows and can hold, `_rescued` has the rest,
+    each with its value as JSON; an unknown field has a null `was`, an uncastable one the kinds that the target holds."""
+    kinds = lambda f: F.try_element_at(F.col("target"), f["field"])
+    fits = lambda f: F.coalesce(kinds(f).bitwiseAND(f["kind"]) != 0, F.lit(False))
+    kept = F.filter("fields", fits).alias("fields")
+    rest = F.transform(F.filter("fields", lambda f: ~fits(f)), lambda f: F.struct(f["field"].alias("field"), f["kind"].alias("kind"), f["hash"].alias("hash"), f["json"].alias("json"), kinds(f).alias("was")))
+    return leaves.join(target.select(*ON, "prev_no", "target"), ON).select(*ON, "prev_no", "rec_key", kept, rest.alias("_rescued"))
+
+
+def verdicts(rescued: DataFrame, schema: DataFrame, target: DataFrame) -> DataFrame:
+    """origin, group_key, step_no, prev_no, field, verdict: what the rescue columns of a step hold, 'unknown' or 'uncastable' fields, and which columns of its target
+    no record fills, or none with all of its kinds: 'unfilled' and 'narrowed'."""
+    held = rescued.select(*ON, "prev_no", F.explode("_rescued").alias("r")).groupBy(*ON, "prev_no", F.col("r.field").alias("field")).agg(F.max("r.was").alias("_was"))
+    held = held.select(*ON, "prev_no", "field", F.when(F.col("_was").isNull(), "unknown").otherwise("uncastable").alias("verdict"))
+    columns = target.select(*ON, "prev_no", F.explode("target").alias("field", "was")).join(schema, [*ON, "field"], "left")
+    filled = F.when(F.col("kinds").isNull(), "unfilled").when(F.col("kinds").bitwiseAND(F.col("was")) != F.col("was"), "narrowed")
+    return held.unionByName(columns.select(*ON, "prev_no", "field", filled.alias("verdict")).filter("verdict is not null"))
+
+
+def replay(leaves: DataFrame, rescued: DataFrame, said: DataFrame, share: float = RENAME_SHARE) -> DataFrame:
     """Replays the rescued values of unknown fields into unfilled columns: origin, group_key, step_no, old_field, new_field of the renames.
 
     A pair is a rename if in at least `share` of the records that have the old field before and the new field now the values are equal. Of several
-    fitting pairs the one with the larger share, then the more records, then the names in order wins; a field is part of one rename only.
+    fitting pairs the one with the larger share, then the more records, then the names in order wins; a field is part of one rename only. Only pairs with
+    an equal value in some record are counted.
     """
-    on = ["origin", "group_key", "step_no"]
-    cand = verdicts.groupBy(*on, "prev_no").agg(F.collect_set(F.when(F.col("verdict") == "unfilled", F.col("field"))).alias("_gone"), F.collect_set(F.when(F.col("verdict") == "unknown", F.col("field"))).alias("_come"))
-    cand = stage(cand.filter("size(_gone) > 0 and size(_come) > 0"))
-    pick = lambda side: F.filter("fields", lambda f: F.array_contains(side, f["field"]))
+    cand = said.groupBy(*ON, "prev_no").agg(F.collect_set(F.when(F.col("verdict") == "unfilled", F.col("field"))).alias("_gone"), F.max(F.col("verdict") == "unknown").alias("_come"))
+    cand = stage(cand.filter("size(_gone) > 0 and _come").drop("_come"))
     slim = lambda c: F.transform(c, lambda f: F.struct(f["field"].alias("field"), f["hash"].alias("hash")))
-    new = leaves.join(cand, on).select(*on, "rec_key", slim(pick(F.col("_come"))).alias("_n"), F.lit(None).cast("array<struct<field:string,hash:bigint>>").alias("_o")).filter("size(_n) > 0")
+    none = F.lit(None).cast("array<struct<field:string,hash:bigint>>")
+    new = rescued.join(cand.select(*ON), ON, "left_semi").select(*ON, "rec_key", slim(F.filter("_rescued", lambda f: f["was"].isNull())).alias("_n"), none.alias("_o")).filter("size(_n) > 0")
     prev = leaves.withColumnRenamed("step_no", "prev_no").join(cand, ["origin", "group_key", "prev_no"])
-    old = prev.select(*on, "rec_key", F.lit(None).cast("array<struct<field:string,hash:bigint>>").alias("_n"), slim(pick(F.col("_gone"))).alias("_o")).filter("size(_o) > 0")
+    old = prev.select(*ON, "rec_key", none.alias("_n"), slim(F.filter("fields", lambda f: F.array_contains("_gone", f["field"]))).alias("_o")).filter("size(_o) > 0")
     # a repeated record (a column listed twice) counts once, by its first fields
-    rec = new.unionByName(old).groupBy(*on, "rec_key").agg(F.min("_n").alias("_n"), F.min("_o").alias("_o")).filter("_n is not null and _o is not null")
-    pairs = rec.select(*on, F.explode("_o").alias("o"), "_n").select(*on, "o", F.explode("_n").alias("n"))
-    score = pairs.groupBy(*on, F.col("o.field").alias("old_field"), F.col("n.field").alias("new_field")).agg(F.count("*").alias("n_both"), F.sum((F.col("o.hash") == F.col("n.hash")).cast("long")).alias("n_same"))
+    rec = stage(new.unionByName(old).groupBy(*ON, "rec_key").agg(F.min("_n").alias("_n"), F.min("_o").alias("_o")).filter("_n is not null and _o is not null"))
+    equal = rec.select(*ON, F.explode("_o").alias("o"), "_n").select(*ON, F.col("o.field").alias("old_field"), F.explode(F.filter("_n", lambda n: n["hash"] == F.col("o.hash"))).alias("n"))
+    same = equal.groupBy(*ON, "old_field", F.col("n.field").alias("new_field")).agg(F.count("*").alias("n_same"))
+    wanted = same.groupBy(*ON).agg(F.collect_list(F.struct("old_field", "new_field", "n_same")).alias("_p"))  # pairs of fields
+    has = lambda side, name: F.exists(side, lambda x: x["field"] == name)
+    seen = rec.join(wanted, ON).select(*ON, F.explode(F.filter("_p", lambda p: has("_o", p["old_field"]) & has("_n", p["new_field"]))).alias("p"))
+    score = seen.groupBy(*ON, "p").agg(F.count("*").alias("n_both")).select(*ON, "p.old_field", "p.new_field", "p.n_same", "n_both")
     fit = score.filter(F.col("n_same") >= F.col("n_both") * share)
-    ranked = fit.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_same") / F.col("n_both")).alias("a"), (-F.col("n_both")).alias("b"), "old_field", "new_field"))).alias("p"))
+    ranked = fit.groupBy(*ON).agg(F.array_sort(F.collect_list(F.struct((-F.col("n_same") / F.col("n_both")).alias("a"), (-F.col("n_both")).alias("b"), "old_field", "new_field"))).alias("p"))
 
     def take(acc: Column, x: Column) -> Column:
         free = ~F.exists(acc, lambda y: (y["old_field"] == x["old_field"]) | (y["new_field"] == x["new_field"]))
         return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
 
-    chosen = ranked.select(*on, F.explode(F.aggregate("p", F.slice("p", 1, 0), take)).alias("c"))
-    return chosen.select(*on, "c.old_field", "c.new_field")
+    chosen = ranked.select(*ON, F.explode(F.aggregate("p", F.slice("p", 1, 0), take)).alias("c"))
+    return chosen.select(*ON, "c.old_field", "c.new_field")
 
 
 def changes(leaves: DataFrame) -> DataFrame:
-    """origin, group_key, step_no, change_kind, old_field, new_field: each change between a step and the one before. Empty input gives no rows."""
-    verdicts = stage(rescue(leaves, step_order(leaves)).filter("verdict <> 'typed'"))
-    renames = stage(replay(leaves, verdicts))
-    on = ["origin", "group_key", "step_no"]
-    used = renames.select(*on, F.explode(F.array(F.struct(F.lit("unfilled").alias("verdict"), F.col("old_field").alias("field")), F.struct(F.lit("unknown").alias("verdict"), F.col("new_field").alias("field")))).alias("u"))
-    rest = verdicts.join(used.select(*on, "u.verdict", "u.field"), [*on, "verdict", "field"], "left_anti")
+    """origin, group_key, step_no, change_kind, old_field, new_field: each change between a step and the one before, read from the rescue columns of an ingestion
+    that enforces the schema of the step before, from the columns it leaves unfilled, and from the replay of the one into the other. Empty input gives no rows."""
+    schema = stage(schemas(leaves))
+    target = stage(targets(schema, step_order(leaves)))
+    rescued = stage(enforce(leaves, target).filter("size(_rescued) > 0").drop("fields"))
+    said = stage(verdicts(rescued, schema, target))
+    renames = stage(replay(leaves, rescued, said))
+    used = renames.select(*ON, F.explode(F.array(F.struct(F.lit("unfilled").alias("verdict"), F.col("old_field").alias("field")), F.struct(F.lit("unknown").alias("verdict"), F.col("new_field").alias("field")))).alias("u"))
+    rest = said.join(used.select(*ON, "u.verdict", "u.field"), [*ON, "verdict", "field"], "left_anti")
     kind = F.when(F.col("verdict") == "unknown", "added").when(F.col("verdict") == "unfilled", "removed").otherwise("retyped")
-    plain = rest.select(*on, kind.alias("change_kind"), F.when(F.col("verdict") == "unknown", "").otherwise(F.col("field")).alias("old_field"), F.when(F.col("verdict") == "unfilled", "").otherwise(F.col("field")).alias("new_field"))
-    return plain.unionByName(renames.select(*on, F.lit("renamed").alias("change_kind"), "old_field", "new_field"))
+    plain = rest.select(*ON, kind.alias("change_kind"), F.when(F.col("verdict") == "unknown", "").otherwise(F.col("field")).alias("old_field"), F.when(F.col("verdict") == "unfilled", "").otherwise(F.col("field")).alias("new_field")).distinct()
+    return plain.unionByName(renames.select(*ON, F.lit("renamed").alias("change_kind"), "old_field", "new_field"))
 
 
 #: Target columns of the consistent Dataset table, with their types.
@@ -201,28 +224,28 @@ INNER = {"node": {"meta.owner": "owner", "meta.tier": "tier", "depends_on.nodes"
 RECORDS = "origin string, group_key string, step_no long, generated_at timestamp, rec_kind string, rec_key string, record string"
 
 
-def ingest(records: DataFrame, text: str, target: dict[str, str], approved: dict[str, str] | None = None) -> DataFrame:
+def ingest(records: DataFrame, text: str, target: dict[str, str], approved: dict[str, str] | Column | None = None) -> DataFrame:
     """The records with one typed column per target field and `_rescued`, the JSON of all members that are unknown or cannot be cast.
 
-    records: any columns, JSON objects in the column `text`. approved: other names of target fields; where the target field has no value, the rescued
-    value of an approved name is replayed into the typed column and leaves the rescue column. Text that is no JSON object is rescued whole; null text gives
-    nulls. A column of records with the name of a target field keeps its name, the target then has the prefix 'field_'.
+    records: any columns, JSON objects in the column `text`. approved: target fields by the other names that are promoted to them, for all records or as a map
+    column, for each; where the target field has no value, the rescued value of the first such name that has one is replayed into the typed column and leaves the
+    rescue column. Text that is no JSON object is rescued whole; null text gives nulls. A column of records with the name of a target field keeps its name, the
+    target then has the prefix 'field_'.
     """
     taken = set(records.columns)
-    members = F.from_json(F.col(text), T.MapType(T.StringType(), T.VariantType()))
-    df = records.withColumn("__members", members)
+    names = F.create_map(*[F.lit(x) for pair in approved.items() for x in pair]) if isinstance(approved, dict) and approved else approved
+    if names is None or isinstance(names, dict):
+        names = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    df = records.withColumn("__names", F.array_sort(F.map_entries(names))).withColumn("__members", F.from_json(F.col(text), T.MapType(T.StringType(), T.VariantType())))
     bad = F.col(text).isNotNull() & (F.col("__members").isNull() | ~F.trim(F.col(text)).startswith("{"))
-    names: dict[str, list[str]] = {t: [t, *[a for a, to in (approved or {}).items() if to == t]] for t in target}
     used, out = [], []
     for t, kind in target.items():
-        tries = []
-        for n in names[t]:
-            raw = F.col("__members")[n]
-            tries.append(value := F.try_variant_get(raw, "$", kind))
-            earlier = F.coalesce(*tries[:-1]) if len(tries) > 1 else F.lit(None)
-            used.append((n, value.isNotNull() & (earlier.isNull())))
-        out.append(F.coalesce(*tries).alias(f"field_{t}" if t in taken else t))
-    gone = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in used]))
+        own = F.try_variant_get(F.col("__members")[t], "$", kind)
+        fits = F.filter(F.col("__names"), lambda e: (e["value"] == t) & F.try_variant_get(F.try_element_at(F.col("__members"), e["key"]), "$", kind).isNotNull())  # noqa: B023
+        other = F.try_element_at(fits, F.lit(1))["key"]
+        used.append(F.when(own.isNotNull(), F.lit(t)).otherwise(other))
+        out.append(F.coalesce(own, F.try_variant_get(F.try_element_at(F.col("__members"), other), "$", kind)).alias(f"field_{t}" if t in taken else t))
+    gone = F.array_compact(F.array(*used))
     rescued = F.map_filter("__members", lambda k, v: v.isNotNull() & ~F.is_variant_null(v) & ~F.array_contains(gone, k))
     col = F.when(bad, F.to_json(F.struct(F.col(text).alias("_text")))).when(F.size(rescued) > 0, F.to_json(rescued)).alias("_rescued")
     return df.select(*records.columns, *out, col)
@@ -287,16 +310,14 @@ def manifest_table(files: DataFrame, report: DataFrame) -> DataFrame:
     out: DataFrame | None = None
     for kind, target in MANIFEST_TARGETS.items():
         own = report.filter((F.col("origin") == "manifest_files") & F.col("old_field").startswith(f"{kind}.") & F.col("new_field").startswith(f"{kind}."))
-        own = own.select("change_kind", *[F.substring(c, len(kind) + 2, 1 << 30).alias(c) for c in ("old_field", "new_field")])
-        part = ingest(records.filter(F.col("rec_kind") == kind), "record", target, approved_names(own, target, INNER.get(kind))).drop("record")
+        own = own.select("group_key", "change_kind", *[F.substring(c, len(kind) + 2, 1 << 30).alias(c) for c in ("old_field", "new_field")])
+        part = promoted(records.filter(F.col("rec_kind") == kind), "record", target, own, INNER.get(kind)).drop("record")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def approved_names(report: DataFrame, target: dict[str, str], known: dict[str, str] | None = None) -> dict[str, str]:
-    """Names that the report's renames lead to or from a target field, over several steps; known: names that are approved anyway. The distinct pairs of field names come to the driver: as many as
-    the schema has renames, however many records there are."""
-    pairs = [tuple(r) for r in report.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect()]
+def approved_names(pairs: list[tuple[str, str]], target: dict[str, str], known: dict[str, str] | None = None) -> dict[str, str]:
+    """Names that renames lead to or from a target field, over several steps; known: names that are approved anyway."""
     found: dict[str, str] = dict(known or {})
     grew = True
     while grew:
@@ -309,6 +330,25 @@ def approved_names(report: DataFrame, target: dict[str, str], known: dict[str, s
     return found
 
 
+def approvals(report: DataFrame, target: dict[str, str], known: dict[str, str] | None = None) -> DataFrame:
+    """group_key and _approved (map): the names that the group's own renames approve. A group has as many rows here as its schema has renames."""
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = approved_names(list(zip(pdf["old_field"], pdf["new_field"], strict=True)), target, known)
+        return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "names": [list(names)], "fields": [list(names.values())]})
+
+    pairs = report.filter("change_kind = 'renamed'").select("group_key", "old_field", "new_field").distinct()
+    made = pairs.groupBy("group_key").applyInPandas(of_group, "group_key string, names array<string>, fields array<string>")
+    return made.select("group_key", F.map_from_arrays("names", "fields").alias("_approved"))
+
+
+def promoted(records: DataFrame, text: str, target: dict[str, str], report: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """ingest() of records with a group_key, each group with the renames that the report has of it; a rename of one group says nothing of another's fields."""
+    always = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    with_names = records.join(approvals(report, target, known), "group_key", "left").withColumn("_approved", F.coalesce("_approved", always))
+    return ingest(with_names, text, target, F.col("_approved")).drop("_approved")
+
+
 def _leaves(spark: SparkSession, base: str) -> DataFrame:
     return stage(manifest_leaves(tables.read(spark, base, "manifest_files")).unionByName(dataset_leaves(tables.read(spark, base, "nodes"))))
 
@@ -322,6 +362,7 @@ def p4_table(spark: SparkSession, base: str) -> DataFrame:
     promoted as the report of changes says. A column that the kind does not have is null."""
     report = stage(changes(_leaves(spark, base)).filter("change_kind = 'renamed'"))
     valid = tables.nodes(spark, base).filter("type = 'Dataset'").select("_version", "id", "name", "properties")
-    sets = ingest(valid, "properties", TARGET, approved_names(report.filter("origin = 'nodes'"), TARGET)).drop("properties")
-    sets = sets.select(F.lit("nodes").alias("origin"), F.col("database").alias("group_key"), F.col("_version").cast("long").alias("step_no"), F.lit("dataset").alias("rec_kind"), F.col("id").alias("rec_key"), "*")
+    valid = valid.withColumn("group_key", F.get_json_object("properties", "$.database"))
+    sets = promoted(valid, "properties", TARGET, report.filter("origin = 'nodes'")).drop("properties")
+    sets = sets.select(F.lit("nodes").alias("origin"), "group_key", F.col("_version").cast("long").alias("step_no"), F.lit("dataset").alias("rec_kind"), F.col("id").alias("rec_key"), *[c for c in sets.columns if c != "group_key"])
     return sets.unionByName(manifest_table(tables.read(spark, base, "manifest_files"), report), allowMissingColumns=True)

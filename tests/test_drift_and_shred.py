@@ -128,3 +128,20 @@ def test_whole_tables(spark, name):
     from .conftest import DATA
 
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_a_rename_of_one_group_says_nothing_of_another(spark):
+    rows = [("db1", '{"contact": "ann"}'), ("db1", '{"owner": "bob", "contact": "cy"}'), ("db2", '{"contact": "phone 123", "owner": null}')]
+    report = spark.createDataFrame([("db1", "renamed", "owner", "contact")], "group_key string, change_kind string, old_field string, new_field string")
+    out = drift.promoted(spark.createDataFrame(rows, "group_key string, properties string"), "properties", {"owner": "string"}, report)
+    got = sorted((r.group_key, r.owner or "", r._rescued or "") for r in out.collect())
+    assert got == [("db1", "ann", ""), ("db1", "bob", '{"contact":"cy"}'), ("db2", "", '{"contact":"phone 123"}')]
+
+
+def test_rescued_values_are_what_the_target_cannot_hold(spark):
+    leaf = lambda f, v: drift._leaf(f, v)
+    rows = [("nodes", "g", 1, None, "a", [leaf("x", 1), leaf("y", "t")]), ("nodes", "g", 2, None, "a", [leaf("x", "one"), leaf("y", "t"), leaf("z", [1])])]
+    leaves = spark.createDataFrame(rows, drift.LEAVES)
+    target = drift.targets(drift.schemas(leaves), drift.step_order(leaves))
+    r = drift.enforce(leaves, target).collect()
+    assert len(r) == 1 and [f.field for f in r[0].fields] == ["y"] and {(f.field, f.json, f.was) for f in r[0]._rescued} == {("x", '"one"', drift.KINDS["number"]), ("z", "[1]", None)}
