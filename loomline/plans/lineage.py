@@ -255,8 +255,7 @@ def escaped(spark, base):
 
 def intents(spark, base):
     d = tables.read(spark, base, "documents").filter("text is not null")
-    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    return d.select("doc_id", X.intent(ascii_only).alias("intent"))
+    return d.select("doc_id", X.intent(F.col("text")).alias("intent"))
 
 
 def _log(spark, base):
@@ -266,7 +265,7 @@ def _log(spark, base):
         F.concat("source_id", F.lit(">"), "target_id").alias("query_id"), F.lit("loader").alias("user_name"),
         F.concat(F.lit("select * from "), "source_id", F.lit(" a JOIN "), "target_id", F.lit(" b ON a.id = b.ref_id"), F.lit(" join "), "source_id").alias("query_text"), F.lit(None).cast("string").alias("start_time"))
     d = tables.read(spark, base, "documents")
-    told = d.select(F.col("doc_id").cast("string").alias("query_id"), F.col("source").alias("user_name"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("query_text"), F.lit(None).cast("string").alias("start_time"))
+    told = d.select(F.col("doc_id").cast("string").alias("query_id"), F.col("source").alias("user_name"), F.col("text").alias("query_text"), F.lit(None).cast("string").alias("start_time"))
     return made.unionByName(told)
 
 

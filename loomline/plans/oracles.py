@@ -78,13 +78,22 @@ hs AS (SELECT w, {_BYTES} AS b FROM (SELECT DISTINCT w, sha256(w) AS h FROM tk))
 sm AS (SELECT id, i, sum(b[i + 1]) AS x FROM tk JOIN hs USING (w), range(32) r(i) GROUP BY id, i)"""
 
 
-_TEXT = "concat_ws(' | ', 'Type: ' || type, 'Name: ' || name, CASE WHEN description <> '' THEN 'Description: ' || description END)"
+#: Members of properties that belong to the type; the others are the base properties, which are part of the text.
+_OWN = {"Dataset": "database schema schema_name table_type owner", "Column": "dataset_id data_type is_nullable ordinal_position", "Pipeline": "resource_type owner", "User": "email", "Team": "email", "BusinessTerm": "definition domain"}
+_OWN_SQL = "CASE type " + " ".join(f"WHEN '{t}' THEN {names.split()!r}" for t, names in _OWN.items()) + " ELSE [] END"
+_MEMBER = "json_extract(properties, '$.\"' || k || '\"')"
+_SPELT = f"""CASE json_type({_MEMBER}) WHEN 'VARCHAR' THEN {_MEMBER} ->> '$' WHEN 'BOOLEAN' THEN CASE WHEN {_MEMBER}::VARCHAR = 'true' THEN 'True' END WHEN 'NULL' THEN NULL
+WHEN 'DOUBLE' THEN CASE WHEN {_MEMBER}::DOUBLE <> 0 THEN {_MEMBER}::DOUBLE::VARCHAR END WHEN 'ARRAY' THEN CASE WHEN json_array_length({_MEMBER}) > 0 THEN '[' || array_to_string(list_transform({_MEMBER}::VARCHAR[], lambda x: chr(39) || x || chr(39)), ', ') || ']' END
+ELSE CASE WHEN {_MEMBER}::VARCHAR NOT IN ('0', '{{}}') THEN {_MEMBER}::VARCHAR END END"""
+_KEPT = f"list_filter(list_transform(list_filter(json_keys(properties), lambda k: NOT list_contains({_OWN_SQL}, k)), lambda k: k || '=' || nullif({_SPELT}, '')), lambda x: x IS NOT NULL)"
+_PROPS = f"CASE WHEN json_valid(properties) AND json_type(properties) = 'OBJECT' AND len({_KEPT}) > 0 THEN 'Properties: ' || array_to_string({_KEPT}, ', ') END"
+_TEXT = f"concat_ws(' | ', 'Type: ' || type, 'Name: ' || name, CASE WHEN description <> '' THEN 'Description: ' || description END, {_PROPS})"
 _VALID_VECTORS = "vv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY _version DESC, _seq DESC) AS rn FROM vectors WHERE id IS NOT NULL AND id <> '') WHERE rn = 1)"
 _COSINE = f"""WITH {_VALID_VECTORS}, q AS (SELECT vector AS qv FROM vv WHERE len(list_filter(vector, lambda x: x <> 0)) > 0 ORDER BY id LIMIT 1),
 ds AS (SELECT id, CASE WHEN len(list_filter(vector, lambda x: x <> 0)) = 0 THEN 1.0 ELSE 1 - list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]) END AS d FROM vv, q WHERE vector IS NOT NULL)"""
 
 _LOG = f"""{PRELUDE}, lg AS (SELECT source_id || '>' || target_id AS query_id, 'loader' AS user_name, 'select * from ' || source_id || ' a JOIN ' || target_id || ' b ON a.id = b.ref_id join ' || source_id AS query_text FROM e WHERE type IN ('DERIVED_FROM', 'JOINS_WITH')
-UNION ALL SELECT doc_id::VARCHAR, source, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') FROM documents)"""
+UNION ALL SELECT doc_id::VARCHAR, source, text FROM documents)"""
 
 _TERMS = ["raw shipment forecast", "raw", "shipment", "forecast", "show me the raw shipment forecast tables"]
 
@@ -223,7 +232,7 @@ ea2 AS (SELECT source_id, target_id, type FROM ea WHERE source_id IN (SELECT id
 SELECT id, '' AS other, status FROM nd WHERE status IS NOT NULL UNION ALL SELECT source_id, type || ' ' || target_id, 'added' FROM (SELECT * FROM eb2 EXCEPT SELECT * FROM ea2) UNION ALL
 SELECT source_id, type || ' ' || target_id, 'removed' FROM (SELECT * FROM ea2 EXCEPT SELECT * FROM eb2)""",
     "nodes_by_ids": f"{PRELUDE} SELECT pos::INT AS pos, id, type, name FROM (VALUES (0, 'team.data_platform'), (1, 'no.such.id'), (2, 'term.shared_churn'), (3, 'team.data_platform')) x(pos, id) JOIN n USING (id)",
-    "search_terms": f"""{PRELUDE}, s AS (SELECT id, trim(lower(concat_ws(' ', name, regexp_replace(description, '[^\\x00-\\x7F]', '?', 'g')))) AS r FROM vn, v WHERE _version = version),
+    "search_terms": f"""{PRELUDE}, s AS (SELECT id, trim(lower(concat_ws(' ', name, description))) AS r FROM vn, v WHERE _version = version),
 s2 AS (SELECT id, r, list_filter(regexp_split_to_array(r, '{_SPACE}'), lambda w: w <> '' AND NOT list_contains({_STOP}, w)) AS w FROM s),
 s3 AS (SELECT id, list_concat(CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END, w, [r]) AS l FROM s2),
 s4 AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM s3), s5 AS (SELECT id, l[i] AS t, min(i) AS i FROM s4 WHERE length(l[i]) >= 2 GROUP BY 1, 2)
@@ -250,7 +259,7 @@ SELECT dataset_id, count(*) AS n_columns, string_agg(x, ', ' ORDER BY o, name, x
     "degree_histogram": f"{PRELUDE}, dg AS (SELECT 'out' AS side, source_id AS id, count(*) AS degree FROM e GROUP BY 1, 2 UNION ALL SELECT 'in', target_id, count(*) FROM e GROUP BY 1, 2) SELECT side, degree, count(*) AS n_ids FROM dg GROUP BY 1, 2",
     "last_segment": f"{PRELUDE} SELECT id, regexp_extract(id, '[^.]*$') AS last FROM vn, v WHERE _version = version",
     "html_escape": "SELECT doc_id, md5(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS html FROM documents",
-    "intent_route": f"SELECT doc_id, CASE WHEN {_HAS_DOWN} THEN 'downstream' WHEN {_HAS_UP} THEN 'upstream' ELSE 'search' END AS intent FROM (SELECT doc_id, lower(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) AS t FROM documents WHERE text IS NOT NULL)",
+    "intent_route": f"SELECT doc_id, CASE WHEN {_HAS_DOWN} THEN 'downstream' WHEN {_HAS_UP} THEN 'upstream' ELSE 'search' END AS intent FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)",
     "iso_to_epoch": f"""{_RUNS}, tm AS (SELECT file_id, pos, x ->> '$.eventTime' AS event_time FROM ev), ms AS (SELECT *, epoch_ms(TRY_CAST(event_time AS TIMESTAMPTZ)) + CASE WHEN contains(event_time, 'T') AND NOT contains(event_time, '.') THEN 999 ELSE 0 END AS ms FROM tm)
 SELECT file_id, pos, event_time, ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM ms""",
     "regex_table_refs": f"{_LOG} SELECT DISTINCT query_id, unnest(regexp_extract_all(query_text, '(?i)(?:FROM|JOIN)\\s+([a-zA-Z0-9_\\.]+)', 1)) AS source_id, 'user:' || user_name AS target_id FROM lg WHERE user_name IS NOT NULL",
