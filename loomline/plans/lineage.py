@@ -281,17 +281,23 @@ def _props(col="properties"):
     return F.from_json(col, "map<string,string>")
 
 
+def _merged() -> F.Column:
+    """The united properties as text: names in order with their last values."""
+    spelt = lambda e: F.concat(e["key"], F.lit("="), F.regexp_replace(F.coalesce(e["value"], F.lit("null")), r"\s", ""))
+    return F.array_join(F.transform(F.map_entries("properties"), spelt), ",").alias("merged")
+
+
 def node_merge(spark, base):
     """All rows of all versions merged as ingestion does: first fields, first filled description, united properties."""
     n = tables.read(spark, base, "nodes").filter("id is not null").withColumn("_order", F.struct("_version", "_seq"))
     m = builder.merge(n.select("id", "type", "name", "description", _props().alias("properties"), F.col("_order").alias("_seq")), ["id"])
-    return m.select("id", "type", "name", "description", F.array_join(F.map_keys("properties"), ",").alias("property_names"))
+    return m.select("id", "type", "name", "description", _merged())
 
 
 def edge_merge(spark, base):
     e = tables.read(spark, base, "edges").filter(tables.filled("source_id", "target_id")).withColumn("_order", F.struct("_version", "_seq"))
     m = builder.merge(e.select("source_id", "target_id", "type", _props().alias("properties"), F.col("_order").alias("_seq")), ["source_id", "target_id", "type"])
-    return m.select("source_id", "target_id", "type", F.array_join(F.map_keys("properties"), ",").alias("property_names"))
+    return m.select("source_id", "target_id", "type", _merged())
 
 
 def alias_resolution(spark, base):

@@ -126,9 +126,11 @@ _HAS_UP = " OR ".join(f"contains(t, '{w}')" for w in ("root cause", "upstream",
 
 
 def _merge(table: str, keys: str, where: str, fields: str) -> str:
-    return f"""WITH r AS (SELECT *, _version * 1099511627776 + _seq AS o FROM {table} WHERE {where}),
-props AS (SELECT {keys}, string_agg(DISTINCT k, ',' ORDER BY k) AS property_names FROM (SELECT {keys}, unnest(json_keys(properties)) AS k FROM r) GROUP BY {keys})
-SELECT {keys}{fields}, coalesce(property_names, '') AS property_names FROM (SELECT {keys}, arg_min(r, o) AS f, arg_min(CASE WHEN {"description" if table == "nodes" else "''"} <> '' THEN r END, CASE WHEN {"description" if table == "nodes" else "''"} <> '' THEN o END) AS d FROM r GROUP BY {keys}) LEFT JOIN props USING ({keys})"""
+    described = "description" if table == "nodes" else "''"
+    return f"""WITH r AS (SELECT *, _version::HUGEINT * 9223372036854775807 + _seq AS o FROM {table} WHERE {where}),
+kv AS (SELECT {keys}, k, o, regexp_replace(coalesce(json_extract_string(properties, '$."' || k || '"'), 'null'), '\\s', '', 'g') AS val FROM (SELECT {keys}, o, properties, unnest(json_keys(properties)) AS k FROM r)),
+lk AS (SELECT {keys}, k, arg_max(val, o) AS val FROM kv GROUP BY {keys}, k), props AS (SELECT {keys}, string_agg(k || '=' || val, ',' ORDER BY k) AS merged FROM lk GROUP BY {keys})
+SELECT {keys}{fields}, coalesce(merged, '') AS merged FROM (SELECT {keys}, arg_min(r, o) AS f, arg_min(CASE WHEN {described} <> '' THEN r END, CASE WHEN {described} <> '' THEN o END) AS d FROM r GROUP BY {keys}) LEFT JOIN props USING ({keys})"""
 
 
 def _orphans() -> str:
