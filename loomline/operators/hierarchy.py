@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,30 +139,51 @@ def describe(h: Hierarchy) -> DataFrame:
     )
 
 
-def ancestors(h: Hierarchy) -> DataFrame:
-    """Every (node, ancestor) pair of the trees as ids, with both depths; as many rows as the depths sum up to.
+def chains(h: Hierarchy) -> DataFrame:
+    """node_id and up, the ids of its ancestors from the root down: those whose interval holds the node's entry.
 
-    The chains of parents double each round (2, 4, 8 levels), so the rounds are logarithmic in the depth; a node's depth from its tour says how long its
-    chain must become, which ends the rounds.
+    The intervals are sorted by tree and entry into range partitions, however large one tree is. Within a partition one pass keeps the open intervals on a stack.
+    The intervals that are open where a partition begins come along: each row looks which of the partitions' beginnings lie inside it, so these are as many
+    rows as there are partitions, times the depth.
     """
-    deep = h.tours.agg(F.max("depth")).first()[0] or 0
-    tree = h.links.join(h.tours.select("node", "depth"), "node")
-    cur, span = stage(tree.select("node", F.array("parent").alias("up"))), 1
-    while span < deep:
-        far = cur.select(F.col("node").alias("_last"), F.col("up").alias("_more"))
-        nxt = stage(cur.withColumn("_last", F.element_at("up", -1)).join(far, "_last", "left").select("node", F.concat("up", F.coalesce("_more", F.array().cast("array<bigint>"))).alias("up")))
-        release(cur)
-        cur, span = nxt, span * 2
-    pairs = cur.select("node", F.posexplode("up").alias("_k", "ancestor"))
-    a = h.ids.select(F.col("node").alias("ancestor"), F.col("id").alias("ancestor_id"))
-    return pairs.join(a, "ancestor").join(h.ids, "node").select(F.col("id").alias("node_id"), "ancestor_id", (F.col("_k") + 1).cast("int").alias("steps_up"))
+    spark = h.ids.sparkSession
+    count = 3 * spark.sparkContext.defaultParallelism
+    slots = h.tours.join(h.ids, "node").select("root", "entry", "exit", "id")
+    slots = stage(slots.repartitionByRange(count, "root", "entry").withColumn("_part", F.spark_partition_id()))
+    begins = [(r["_part"], r["b"]["root"], r["b"]["entry"]) for r in slots.groupBy("_part").agg(F.min(F.struct("root", "entry")).alias("b")).collect()]  # one row per partition
+    if not begins:
+        return spark.createDataFrame([], "node_id string, up array<string>")
+    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).cast("long").alias("r"), F.lit(e).cast("long").alias("e")) for p, r, e in begins])
+    inside = F.filter(known, lambda b: (b["r"] == F.col("root")) & (b["e"] > F.col("entry")) & (b["e"] < F.col("exit")))
+    opened = slots.select(*[F.col(c).alias(f"o_{c}") for c in ("root", "entry", "exit", "id")], F.explode(F.transform(inside, lambda b: b["p"])).alias("_into"))
+
+    def scan(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["root", "entry"])
+        stack = []
+        if len(before):
+            before = before.sort_values("o_entry")
+            stack = list(zip(before["o_root"], before["o_exit"], before["o_id"], strict=True))
+        ids, ups = [], []
+        for root, entry, end, node in zip(rows["root"], rows["entry"], rows["exit"], rows["id"], strict=True):
+            while stack and (stack[-1][0] != root or stack[-1][1] < entry):
+                stack.pop()
+            ids.append(node)
+            ups.append([x[2] for x in stack])
+            stack.append((root, end, node))
+        return pd.DataFrame({"node_id": ids, "up": pd.Series(ups, dtype="object")})
+
+    return slots.groupBy("_part").cogroup(opened.groupBy("_into")).applyInPandas(scan, "node_id string, up array<string>")
+
+
+def ancestors(h: Hierarchy) -> DataFrame:
+    """Every (node, ancestor) pair of the trees as ids; as many rows as the depths sum up to, which is what was asked for."""
+    pairs = chains(h).select("node_id", F.size("up").alias("_n"), F.posexplode("up").alias("_k", "ancestor_id"))
+    return pairs.select("node_id", "ancestor_id", (F.col("_n") - F.col("_k")).cast("int").alias("steps_up"))
 
 
 def paths(h: Hierarchy, sep: str = " > ") -> DataFrame:
     """node_id and its path from the root, the node included; ids off the trees have none. A chain is as long as the tree is deep, not as wide."""
-    up = ancestors(h).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps_up")).alias("k"), "ancestor_id"))).alias("c"))
-    tree = h.ids.join(h.states.filter("node_state = 'tree'"), "node").select(F.col("id").alias("node_id"))
-    return tree.join(up, "node_id", "left").select("node_id", F.array_join(F.concat(F.coalesce(F.transform("c", lambda x: x["ancestor_id"]), F.array().cast("array<string>")), F.array("node_id")), sep).alias("path"))
+    return chains(h).select("node_id", F.array_join(F.concat("up", F.array("node_id")), sep).alias("path"))
 
 
 def _links(spark: SparkSession, base: str) -> DataFrame:

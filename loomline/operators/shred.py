@@ -73,29 +73,28 @@ def _depth(value: object, spec: object) -> int:
     return 0
 
 
-def _plan(spec: object, path: str, depth: int, leaves: list[str], level: int = 1):
-    """A tree of (kind, path, children, own leaf path) with self-repetition written out to the given depth; leaves gets all leaf paths in order."""
+def _plan(spec: object, path: str, depth: int) -> tuple:
+    """A tree of (kind, path, children, leaf paths below in order) with self-repetition written out to the given depth, from the deepest level outwards."""
     if isinstance(spec, Leaf):
-        leaves.append(path)
         return ("leaf", path, None, [path])
     if isinstance(spec, Group):
-        start = len(leaves)
-        kids = [(k, _plan(s, f"{path}.{k}" if path else k, depth, leaves)) for k, s in spec.members.items()]
-        return ("group", path, kids, leaves[start:])
-    start = len(leaves)
-    leaves.append(f"{path}[].key")
-    item = _plan(spec.item, f"{path}[]", depth, leaves)
-    if spec.again and level < depth:
-        kids = [*item[2], (spec.again, _plan(spec, f"{path}[].{spec.again}", depth, leaves, level + 1))]
-        item = ("group", item[1], kids, leaves[start + 1 :])
-    return ("repeated", path, item, leaves[start:])
+        kids = [(k, _plan(s, f"{path}.{k}" if path else k, depth)) for k, s in spec.members.items()]
+        return ("group", path, kids, [p for _, kid in kids for p in kid[3]])
+    inner = None
+    for level in range(max(depth, 1) if spec.again else 1, 0, -1):
+        at = path + f"[].{spec.again}" * (level - 1)
+        item = _plan(spec.item, f"{at}[]", depth)
+        if inner is not None:
+            item = ("group", item[1], [*item[2], (spec.again, inner)], item[3] + inner[3])
+        inner = ("repeated", at, item, [f"{at}[].key", *item[3]])
+    return inner
 
 
 def shred(value: object, spec: object) -> list[tuple[str, list[int], list[int], list[str | None]]]:
-    """Leaf columns of one document: (path, repetition levels, definition levels, values)."""
-    names: list[str] = []
-    plan = _plan(spec, "", _depth(value, spec), names)
-    out = {n: ([], [], []) for n in names}
+    """Leaf columns of one document: (path, repetition levels, definition levels, values). The document is walked with a stack of its own, so it may be as deep as
+    the reader of JSON allows."""
+    plan = _plan(spec, "", _depth(value, spec))
+    out = {n: ([], [], []) for n in plan[3]}
 
     def put(path: str, r: int, d: int, v: object) -> None:
         reps, defs, vals = out[path]
@@ -103,31 +102,27 @@ def shred(value: object, spec: object) -> list[tuple[str, list[int], list[int],
         defs.append(d)
         vals.append(v)
 
-    def nothing(below: list[str], r: int, d: int) -> None:
-        for p in below:
-            put(p, r, d, None)
-
-    def write(node, v: object, r: int, d: int, rep: int) -> None:
-        kind, path, kids, below = node
+    todo = [(plan, value, 0, 0, 0)]
+    while todo:
+        (kind, path, kids, below), v, r, d, rep = todo.pop()
         if kind == "leaf":
             put(path, r, d + (v is not None), None if v is None else text_of(v))
-        elif kind == "group":
+            continue
+        if kind == "group":
             if isinstance(v, dict):
-                for k, kid in kids:
-                    write(kid, v.get(k), r, d + 1, rep)
-            else:
-                nothing(below, r, d)
+                todo += [(kid, v.get(k), r, d + 1, rep) for k, kid in reversed(kids)]
+                continue
+            entries = []
         else:
             entries = [*v.items()] if isinstance(v, dict) else [(None, x) for x in v] if isinstance(v, list) else []
-            if not entries:
-                nothing(below, r, d)
-            for i, (k, x) in enumerate(entries):
-                at = r if i == 0 else rep + 1
-                put(below[0], at, d + 1, k)
-                write(kids, x, at, d + 1, rep + 1)
-
-    write(plan, value, 0, 0, 0)
-    return [(n, *out[n]) for n in names]
+        if not entries:
+            for p in below:
+                put(p, r, d, None)
+            continue
+        for i, (k, _) in enumerate(entries):
+            put(below[0], r if i == 0 else rep + 1, d + 1, k)
+        todo += [(kids, x, r if i == 0 else rep + 1, d + 1, rep + 1) for i, (_, x) in reversed([*enumerate(entries)])]
+    return [(n, *out[n]) for n in plan[3]]
 
 
 def def_level(path: str) -> int:

@@ -145,3 +145,12 @@ def test_rescued_values_are_what_the_target_cannot_hold(spark):
     target = drift.targets(drift.schemas(leaves), drift.step_order(leaves))
     r = drift.enforce(leaves, target).collect()
     assert len(r) == 1 and [f.field for f in r[0].fields] == ["y"] and {(f.field, f.json, f.was) for f in r[0]._rescued} == {("x", '"one"', drift.KINDS["number"]), ("z", "[1]", None)}
+
+
+def test_fields_may_be_nested_as_deep_as_json_reads():
+    value = {"name": "leaf"}
+    for i in range(900):
+        value = {"name": f"n{i}", "fields": [value]}
+    runs = [{"job": {"name": "j"}, "inputs": [{"name": "d", "facets": {"schema": {"fields": [value]}}}]}]
+    leaves = {p: (r, d, v) for p, r, d, v in shred.shred(runs, shred.RUNS)}
+    assert sum(x is not None for p, (_, _, v) in leaves.items() if p.endswith("name") and "fields" in p for x in v) == 901
