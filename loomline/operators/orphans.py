@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,46 @@ BROADCAST_ROWS = 100_000
 KEY = ["_version", "missing_id"]
 
 
+#: Characters in all its text columns up to which such a frame is broadcast.
+BROADCAST_CHARS = 16_000_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether df has few rows and little text; counting stops at the bound."""
+    text = [F.coalesce(F.length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(sum(text, F.lit(0)))).first()
+    return n <= rows and (size or 0) <= chars
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has been counted to have few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+class Counted(NamedTuple):
+    """References per key (_version, missing_id, n_refs), and those of them that are heavy (at most 1 / heavy_share) and light."""
+
+    heavy: DataFrame
+    light: DataFrame
+
 
+def count_keys(refs: DataFrame, heavy_share: float = HEAVY_SHARE) -> Counted:
+    counted = stage(refs.filter(tables.filled("missing_id")).groupBy(*KEY).agg(F.count("*").alias("n_refs")))
+    total = counted.agg(F.sum("n_refs")).first()[0] or 0
+    least = max(1000.0, total * heavy_share)
+    return Counted(counted.filter(F.col("n_refs") >= least), counted.filter(F.col("n_refs") < least))
+
+
+def holders_of(rows: DataFrame, keys: DataFrame, counted: Counted) -> DataFrame:
+    """The rows that refer to one of the keys. Few keys are broadcast; of many, the heavy ones are, and the light ones meet in a shuffle the rows that refer to no
+    heavy key at all, so no hot id is ever shuffled, whether it is missing or not."""
+    if is_small(keys):
+        return rows.join(F.broadcast(keys), KEY)
+    hot = F.broadcast(counted.heavy.select(*KEY))
+    return rows.join(F.broadcast(keys.join(hot, KEY, "left_semi")), KEY).unionByName(rows.join(hot, KEY, "left_anti").join(keys.join(hot, KEY, "left_anti"), KEY))
 
-def orphan_keys(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+
+def orphan_keys(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share: float = HEAVY_SHARE, counted: Counted | None = None) -> DataFrame:
     """_version, missing_id, reason and n_refs of the referenced ids that their version does not hold.
 
     refs: _version, missing_id, a row per reference. held: _version, id (any number of rows). fixed: id, held by every version (a short list).
@@ -32,11 +68,8 @@ def orphan_keys(refs: DataFrame, held: DataFrame, fixed: DataFrame, heavy_share:
     Null and empty ids are no references. Empty refs give no rows; empty held makes every reference 'never'.
     """
     spark = refs.sparkSession
-    counted = stage(refs.filter(tables.filled("missing_id")).groupBy(*KEY).agg(F.count("*").alias("n_refs")))
-    total = counted.agg(F.sum("n_refs")).first()[0] or 0
-    least = max(1000.0, total * heavy_share)
+    heavy, light = counted or count_keys(refs, heavy_share)
     held = held.filter(tables.filled("id")).select("_version", F.col("id").alias("missing_id"))
-    heavy, light = counted.filter(F.col("n_refs") >= least), counted.filter(F.col("n_refs") < least)
     present = held.join(F.broadcast(heavy.select(*KEY)), KEY, "left_semi").distinct()  # no more rows than heavy
     lost = heavy.join(F.broadcast(present), KEY, "left_anti").unionByName(light.join(held, KEY, "left_anti"))
     lost = stage(lost.join(small(fixed.select(F.col("id").alias("missing_id")).distinct()), "missing_id", "left_anti"))
@@ -69,14 +102,14 @@ def orphan_references(nodes: DataFrame, edges: DataFrame, fixed: DataFrame, heav
     """
     of_edges, of_cols = edge_references(edges), column_references(nodes)
     refs = of_edges.select(*KEY).unionByName(of_cols.select(*KEY))
-    keys = orphan_keys(refs, nodes.select("_version", "id"), fixed, heavy_share).drop("n_refs")
-    keys = small(keys)
+    counted = count_keys(refs, heavy_share)
+    keys = orphan_keys(refs, nodes.select("_version", "id"), fixed, heavy_share, counted).drop("n_refs")
     cols = ["ref_field", "_version", "holder_a", "holder_b", "holder_type", "missing_id", "reason"]
-    found = of_edges.join(keys, KEY).select(*cols).distinct()
-    holders = stage(of_cols.join(keys, KEY).select("_version", F.col("holder_a").alias("id")).distinct())
+    found = holders_of(of_edges, keys, counted).select(*cols).distinct()
+    holders = stage(holders_of(of_cols, keys, counted).select("_version", F.col("holder_a").alias("id")).distinct())
     again = nodes.filter(tables.filled("id")).join(small(holders), ["_version", "id"], "left_semi").select("_version", "_seq", "id", "type", F.get_json_object("properties", "$.dataset_id").alias("missing_id"))
     valid = tables.last_wins(again, ["_version", "id"], ["_seq"]).filter("type = 'Column'")
-    columns = valid.join(keys, KEY).select(F.lit("nodes.dataset_id").alias("ref_field"), "_version", F.col("id").alias("holder_a"), F.lit("").alias("holder_b"), F.lit("Column").alias("holder_type"), "missing_id", "reason")
+    columns = holders_of(valid, keys, counted).select(F.lit("nodes.dataset_id").alias("ref_field"), "_version", F.col("id").alias("holder_a"), F.lit("").alias("holder_b"), F.lit("Column").alias("holder_type"), "missing_id", "reason")
     return found.unionByName(columns)
 
 

@@ -121,3 +121,12 @@ def test_any_sequence_and_first_version_zero(spark):
     assert kinds(snapshot_changes.edge_changes(df)) == first | {("a", 7, "removed")}
     assert kinds(snapshot_changes.edge_changes(df, versions=[0, 1, 5, 7])) == first | {("a", 5, "removed"), ("x", 5, "removed"), ("x", 7, "added")}
     assert kinds(snapshot_changes.edge_changes(df, versions=[0, 1])) == first
+
+
+def test_many_orphan_keys_with_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "is_small", lambda df, *_: False)
+    nodes = spark.createDataFrame([(1, i, f"n{i}", "Dataset", "n", "", "{}", "") for i in range(50)], NODES)
+    rows = [(1, i, f"n{i % 50}", "hub" if i % 2 else f"n{i % 7}", f"T{i}", "{}") for i in range(4000)] + [(1, 9000 + i, f"gone{i}", "n1", "T", "{}") for i in range(30)]
+    fixed = spark.createDataFrame([], "id string")
+    got = orphans.orphan_references(nodes, spark.createDataFrame(rows, EDGES), fixed).groupBy("missing_id").count().collect()
+    assert {r.missing_id: r["count"] for r in got} == {"hub": 2000} | {f"gone{i}": 1 for i in range(30)}
